@@ -6,8 +6,21 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilkb.operators.facets import facets_of
+from vigilkb.config import DISCOVERY, Discovery
+from vigilkb.operators.facets import facet_weights, facets_of, metadata_candidates
+from vigilkb.operators.graph import (
+    anchors_for,
+    edges_of,
+    freeze_similar,
+    graph_seeds,
+    hybrid_seeds,
+    nodes_of,
+    teleport,
+    walk_steps,
+)
+from vigilkb.operators.knn import vector_candidates
 from vigilkb.operators.lifecycle import chunks_of, source_or_doc
+from vigilkb.operators.pagerank import personalised_pagerank, top_chunks
 from vigilkb.session import cut
 from vigilkb.sources.tables import arrivals
 
@@ -48,3 +61,49 @@ def from_tables(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
         chunks = chunks.select(*dict.fromkeys(["seq", "op", "doc_id", "valid_from", "valid_to", *columns]))
     chunks = cut(chunks)
     return KB(readers=chunks.withColumn("at", F.col("seq")), chunks=chunks)
+
+
+# ----------------------------------------------------------------- strategies
+
+
+@dataclass
+class Graph:
+    nodes: DataFrame
+    edges: DataFrame
+    found: DataFrame
+
+
+def graph_of(kb: KB, k: int = DISCOVERY.freeze_k, asserted: DataFrame | None = None,
+             decisions: DataFrame | None = None, found: DataFrame | None = None,
+             frozen: DataFrame | None = None) -> Graph:
+    """Nodes, edges and the nearest neighbours behind them, each materialised once."""
+    if found is None:
+        found = cut(vector_candidates(kb.readers, kb.chunks, k))
+    similar = freeze_similar(found if frozen is None else frozen, kb.chunks, k)
+    return Graph(
+        nodes=cut(nodes_of(kb.chunks, decisions)),
+        edges=cut(edges_of(kb.chunks, similar, asserted)),
+        found=found,
+    )
+
+
+def vector_only(kb: KB, k: int = DISCOVERY.vector_k) -> DataFrame:
+    return vector_candidates(kb.readers, kb.chunks, k)
+
+
+def metadata_only(kb: KB, **kw) -> DataFrame:
+    stored = cut(kb.stored_facets())
+    return metadata_candidates(facet_weights(kb.asked_facets(), stored), stored, **kw)
+
+
+def graph_only(kb: KB, g: Graph, **kw) -> DataFrame:
+    seeds = cut(graph_seeds(anchors_for(kb.readers, kb.chunks, g.nodes), g.edges))
+    scores = personalised_pagerank(seeds, walk_steps(g.edges, False), g.nodes, alpha=DISCOVERY.damping, **kw)
+    return top_chunks(scores, g.nodes, DISCOVERY.graph_top_n, exclude=seeds)
+
+
+def hybrid(kb: KB, g: Graph, p: Discovery = DISCOVERY, **kw) -> DataFrame:
+    seeds = hybrid_seeds(kb.readers, kb.chunks, g.nodes, g.edges, g.found, p.hybrid_k_vec, p.w_entity, p.w_old)
+    start = cut(teleport(seeds, kb.chunks, p.w_old))
+    scores = personalised_pagerank(start, walk_steps(g.edges, True), g.nodes, alpha=1.0 - p.restart, **kw)
+    return top_chunks(scores, g.nodes, p.hybrid_top_n)
