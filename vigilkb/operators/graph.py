@@ -6,10 +6,18 @@ every view (active, as-of, walk graph) is a predicate over those stamps.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vigilkb.functions.text import node_id
-from vigilkb.operators.ordering import as_of_last, as_of_total, born_pos, live_at, number_rows
+from vigilkb.operators.ordering import (
+    as_of_last,
+    as_of_total,
+    born_pos,
+    first_k_live,
+    live_at,
+    number_rows,
+    stab,
+)
 from vigilkb.session import cut
 
 # Relation -> (tier, walk weight).  similar_to is scaled by its confidence.
@@ -457,3 +465,65 @@ def chunk_components(chunks: DataFrame, edges: DataFrame) -> DataFrame:
     return components(live, links).groupBy("component").agg(F.count("*").alias("size"))
 
 
+
+
+# ----------------------------------------------------------------- breadth-first ablation
+
+
+def bfs_candidates(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int, top_n: int) -> DataFrame:
+    """Live chunks within ``hops`` of the anchors: (seq, cand, hop, rank).
+
+    Levels are visited in order and a reader stops after the level that brings it to
+    ``top_n``; inside a level older nodes come first.  A frontier anchor may touch a large
+    share of all chunks, so its answers come from the list of its oldest live chunks;
+    2 * top_n of them suffice because an unfinished reader has seen fewer than top_n.
+    Only unfinished readers expand their frontier in full.
+    """
+    pair = F.array(F.struct(F.col("src").alias("n"), F.col("dst").alias("o")),
+                   F.struct(F.col("dst").alias("n"), F.col("src").alias("o")))
+    links = cut(
+        edges.select(F.explode(pair).alias("p"), "valid_from", "valid_to").groupBy("p.n", "p.o", "valid_to")
+        .agg(F.min("valid_from").alias("valid_from"))
+    )
+    is_chunk = lambda c: F.col(c).startswith("chunk:")
+    ends = nodes.where("type = 'chunk'").select(
+        F.col("node_id").alias("o"), F.col("key").cast("long").alias("id"), F.col("valid_to").alias("c_to"), "ord")
+    of_anchor = links.where(~is_chunk("n")).drop("valid_to").join(ends, "o")
+    leaders = cut(first_k_live(
+        of_anchor.select(F.col("n").alias("key"), "id", "valid_from", F.col("c_to").alias("valid_to")), 2 * top_n))
+    frontier = cut(anchors.select("seq", "at", "node_id").distinct())
+    seen, found, order = frontier, None, nodes.where("type = 'chunk'").select(F.col("key").cast("long").alias("cand"), "ord")
+    for hop in range(1, hops + 1):
+        listed = stab(
+            frontier.where(~is_chunk("node_id")).select("seq", "at", F.col("node_id").alias("key")),
+            leaders.select("key", "id", "lead_from", "dies"), "key", "at", "lead_from", "dies",
+        ).select("seq", F.col("id").alias("cand"))
+        near = (
+            frontier.where(is_chunk("node_id")).join(links, F.col("node_id") == F.col("n"))
+            .where(live_at(F.col("at"), F.col("valid_from"), F.col("valid_to")))
+            .join(ends, "o").where("c_to IS NULL OR c_to > at").select("seq", F.col("id").alias("cand"))
+        )
+        new = listed.unionByName(near).distinct().withColumn("hop", F.lit(hop).cast("long"))
+        if found is not None:
+            new = new.join(found.select("seq", "cand"), ["seq", "cand"], "left_anti")
+        known = seen.where(is_chunk("node_id")).select("seq", F.expr("CAST(substring(node_id, 7) AS BIGINT)").alias("cand"))
+        new = new.join(known, ["seq", "cand"], "left_anti")
+        found = cut(new if found is None else found.unionByName(new))
+        if hop == hops:
+            break
+        full = found.groupBy("seq").agg(F.count("*").alias("n")).where(F.col("n") >= top_n).select("seq")
+        nxt = (
+            frontier.join(full, "seq", "left_anti").join(links, F.col("node_id") == F.col("n"))
+            .where(live_at(F.col("at"), F.col("valid_from"), F.col("valid_to")))
+            .select("seq", "at", F.col("o").alias("node_id")).distinct()
+            .join(seen.select("seq", "node_id"), ["seq", "node_id"], "left_anti").select("seq", "at", "node_id")
+        )
+        frontier = cut(nxt)
+        if frontier.isEmpty():
+            break
+        seen = cut(seen.unionByName(frontier))
+    ranked = W.partitionBy("seq").orderBy("hop", "ord")
+    return (
+        found.join(order, "cand").withColumn("rank", F.row_number().over(ranked).cast("long"))
+        .where(F.col("rank") <= top_n).select("seq", "cand", "hop", "rank")
+    )
