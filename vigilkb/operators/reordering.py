@@ -68,8 +68,8 @@ def random_order(events: DataFrame, seed: int, max_rounds: int = 1000) -> DataFr
             break
     else:
         raise RuntimeError("the constraints contain a cycle or nest too deeply")
-    placed = number_rows(keyed.select("seq", "key"), ["key", "seq"], "position")
-    return events.join(placed.select("seq", "position"), "seq")
+    placed = cut(number_rows(keyed.select("seq", "key"), ["key", "seq"], "position"))
+    return events.drop("position").join(placed.select("seq", "position"), "seq")
 
 
 def shuffles(events: DataFrame, n: int, base_seed: int) -> list[tuple[int, DataFrame]]:

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from vigilkb.operators.ordering import number_rows
 
-ENVELOPE = T.StructType.fromDDL("seq BIGINT, type STRING, payload STRING")
-
 
 def encode(log: DataFrame) -> DataFrame:
     """One JSON text per record; ``payload`` is a JSON text or a struct."""

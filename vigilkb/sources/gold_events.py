@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilkb.operators.judging import label_of
 
-SCHEMA = T.StructType.fromDDL(
+SCHEMA = (
     "seq BIGINT, type STRING, "
     "payload STRUCT<doc_id STRING, version BIGINT, title STRING, source_id STRING, text STRING, "
     "is_artifact BOOLEAN, derived_from ARRAY<STRING>>, "
