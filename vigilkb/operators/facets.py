@@ -54,7 +54,9 @@ def facets_of(df: DataFrame, id_cols: list[str]) -> DataFrame:
     return df.select(*id_cols, F.explode(every).alias("f")).select(*id_cols, "f.kind", "f.value")
 
 
-def facet_weights(asked: DataFrame, stored: DataFrame) -> DataFrame:
+def facet_weights(
+    asked: DataFrame, stored: DataFrame, span: int | None = PHYSICAL.fold_span
+) -> DataFrame:
     """Document frequency, population and smoothed IDF of each asked facet, as of its
     reader.
 
@@ -63,12 +65,12 @@ def facet_weights(asked: DataFrame, stored: DataFrame) -> DataFrame:
     """
     keys = ["kind", "value"]
     by_chunk = lifetime_deltas(stored.where("kind <> 'source'"), keys)
-    by_doc = presence_deltas(stored.where("kind = 'source'"), ["kind", "value", "doc_id"]).drop("doc_id")
+    by_doc = presence_deltas(stored.where("kind = 'source'"), ["kind", "value", "doc_id"], span).drop("doc_id")
     chunks = stored.select("id", "doc_id", "valid_from", "valid_to").distinct()
     all_chunks = lifetime_deltas(chunks, []).select(
         F.lit("#chunks").alias("kind"), F.lit("").alias("value"), "pos", "delta"
     )
-    all_docs = presence_deltas(chunks, ["doc_id"]).select(
+    all_docs = presence_deltas(chunks, ["doc_id"], span).select(
         F.lit("#docs").alias("kind"), F.lit("").alias("value"), "pos", "delta"
     )
     # equal steps add up, so frequent facets shrink before they are folded
@@ -83,7 +85,7 @@ def facet_weights(asked: DataFrame, stored: DataFrame) -> DataFrame:
         F.lit("").alias("value"),
     )
     counted = cut(
-        as_of_total(deltas, asked.select(*populations.columns).unionByName(populations), keys, "at", "df")
+        as_of_total(deltas, asked.select(*populations.columns).unionByName(populations), keys, "at", "df", span=span)
     )
     size = (
         counted.where("kind IN ('#chunks', '#docs')")
@@ -159,7 +161,7 @@ def metadata_candidates(
     *,
     rare_posting: int | None = None,
     head_facets: int | None = None,
-    span: int | None = None,
+    span: int | None = PHYSICAL.fold_span,
     stab_small: int | None = None,
 ) -> DataFrame:
     """Exact top-n candidates: (seq, cand, score, rank).

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from vigilkb.config import PHYSICAL
 from vigilkb.functions.text import node_id
 from vigilkb.operators.ordering import (
     as_of_last,
@@ -274,12 +275,12 @@ def degree(edges: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- anchors of an arrival
 
 
-def source_anchor(readers: DataFrame, chunks: DataFrame) -> DataFrame:
+def source_anchor(readers: DataFrame, chunks: DataFrame, span: int | None = PHYSICAL.fold_span) -> DataFrame:
     """The document that most recently committed the reader's source (last writer)."""
     found = as_of_last(
         chunks.select("source_id", "valid_from", "doc_id"),
         readers.select("source_id", "seq", "at"),
-        "source_id", "valid_from", "doc_id", "at", "doc",
+        "source_id", "valid_from", "doc_id", "at", "doc", span,
     )
     return found.where("doc IS NOT NULL").select("seq", "at", node_id("document", F.col("doc")).alias("node_id"))
 
@@ -290,7 +291,9 @@ def _key_nodes(readers: DataFrame, kind: str, column: str) -> DataFrame:
     )
 
 
-def anchors_for(readers: DataFrame, chunks: DataFrame, nodes: DataFrame) -> DataFrame:
+def anchors_for(
+    readers: DataFrame, chunks: DataFrame, nodes: DataFrame, span: int | None = PHYSICAL.fold_span
+) -> DataFrame:
     """Existing anchor nodes of each reader: (seq, at, node_id)."""
     wanted = (
         _key_nodes(readers, "date", "dates")
@@ -299,7 +302,7 @@ def anchors_for(readers: DataFrame, chunks: DataFrame, nodes: DataFrame) -> Data
     )
     made = nodes.where("type IN ('date', 'topic', 'entity')").select("node_id", "valid_from")
     present = wanted.join(made, "node_id").where("valid_from < at").select("seq", "at", "node_id")
-    return present.unionByName(source_anchor(readers, chunks))
+    return present.unionByName(source_anchor(readers, chunks, span))
 
 
 def neighbour_steps(edges: DataFrame) -> DataFrame:
@@ -317,12 +320,12 @@ def neighbour_steps(edges: DataFrame) -> DataFrame:
     )
 
 
-def graph_seeds(anchors: DataFrame, edges: DataFrame) -> DataFrame:
+def graph_seeds(anchors: DataFrame, edges: DataFrame, span: int | None = PHYSICAL.fold_span) -> DataFrame:
     """Graph-only teleport mass: 1 / (1 + distinct neighbours as of the reader).
 
     Seeds are anchors, and an anchor only has structural neighbours.
     """
-    known = as_of_total(neighbour_steps(edges), anchors, ["node_id"], "at", "deg")
+    known = as_of_total(neighbour_steps(edges), anchors, ["node_id"], "at", "deg", span=span)
     return known.select("seq", "at", "node_id", (F.lit(1.0) / (1 + F.col("deg"))).alias("mass"))
 
 
@@ -335,6 +338,7 @@ def hybrid_seeds(
     k_vec: int,
     w_entity: float,
     w_old: float,
+    span: int | None = PHYSICAL.fold_span,
 ) -> DataFrame:
     """The three seed populations: (seq, at, population, node_id, members, mass).
 
@@ -358,12 +362,12 @@ def hybrid_seeds(
         .groupBy(F.col("dst").alias("node_id"), born_pos("valid_from").alias("pos"))
         .agg(F.count("*").alias("delta"))
     )
-    entity = as_of_total(steps, entity, ["node_id"], "at", "deg").select(
+    entity = as_of_total(steps, entity, ["node_id"], "at", "deg", span=span).select(
         "seq", "at", F.lit("entity").alias("population"), "node_id", F.lit(1).cast("long").alias("members"),
         (F.lit(float(w_entity)) / (1 + F.col("deg"))).alias("mass"),
     )
     writes = chunks.select("doc_id", born_pos("valid_from").alias("pos"), F.lit(1).cast("long").alias("delta"))
-    prior = as_of_total(writes, readers.select("doc_id", "seq", "at"), ["doc_id"], "at", "n").where("n > 0").select(
+    prior = as_of_total(writes, readers.select("doc_id", "seq", "at"), ["doc_id"], "at", "n", span=span).where("n > 0").select(
         "seq", "at", F.lit("prior").alias("population"), node_id("document", F.col("doc_id")).alias("node_id"),
         F.col("n").alias("members"), (F.col("n") * F.lit(float(w_old))).alias("mass"),
     )
@@ -470,7 +474,8 @@ def chunk_components(chunks: DataFrame, edges: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- breadth-first ablation
 
 
-def bfs_candidates(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int, top_n: int) -> DataFrame:
+def bfs_candidates(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int, top_n: int,
+                   span: int | None = PHYSICAL.fold_span) -> DataFrame:
     """Live chunks within ``hops`` of the anchors: (seq, cand, hop, rank).
 
     Levels are visited in order and a reader stops after the level that brings it to
@@ -490,7 +495,7 @@ def bfs_candidates(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, hops:
         F.col("node_id").alias("o"), F.col("key").cast("long").alias("id"), F.col("valid_to").alias("c_to"), "ord")
     of_anchor = links.where(~is_chunk("n")).drop("valid_to").join(ends, "o")
     leaders = cut(first_k_live(
-        of_anchor.select(F.col("n").alias("key"), "id", "valid_from", F.col("c_to").alias("valid_to")), 2 * top_n))
+        of_anchor.select(F.col("n").alias("key"), "id", "valid_from", F.col("c_to").alias("valid_to")), 2 * top_n, span))
     frontier = cut(anchors.select("seq", "at", "node_id").distinct())
     seen, found, order = frontier, None, nodes.where("type = 'chunk'").select(F.col("key").cast("long").alias("cand"), "ord")
     for hop in range(1, hops + 1):

@@ -166,8 +166,10 @@ def knn_join(
         F.coalesce(F.col("valid_to").cast("long"), F.lit(FOREVER)).alias("dies"),
         F.col("vec").cast("array<double>").alias("vec"),
     )
-    size = c.agg(F.count("*").alias("n"), F.max("born").alias("b")).first()
-    asked = q.agg(F.count("*").alias("n"), F.max("born").alias("b")).first()
+    def extent(d: DataFrame, side: int) -> DataFrame:
+        return d.agg(F.lit(side).alias("side"), F.count("*").alias("n"), F.max("born").alias("b"))
+
+    asked, size = sorted(extent(q, 0).unionByName(extent(c, 1)).collect())
     pivots = int(max(1, min(max_pivots or PHYSICAL.max_pivots, size["n"] // (8 * rows))))
     if pivots > 1:
         # at most max_pivots vectors reach the driver

@@ -64,14 +64,21 @@ def running(
     pos: str,
     folds: dict[str, tuple[str, str]],
     exclusive: bool = False,
-    span: int | None = None,
+    span: int | None = PHYSICAL.fold_span,
 ) -> DataFrame:
     """Running ``sum``/``max``/``min`` per ``by`` in order of the integer ``pos``.
 
     ``folds`` maps an output column to (fold, input column).  Rows with equal ``pos``
-    see each other unless ``exclusive``.
+    see each other unless ``exclusive``.  ``span`` is the width of a bucket; None says
+    that the caller has measured the whole clock to fit into one.
     """
-    span = span or PHYSICAL.fold_span
+    end = -1 if exclusive else W.currentRow
+    if span is None:
+        frame = W.partitionBy(*(by or [F.lit(0)])).orderBy(pos).rangeBetween(W.unboundedPreceding, end)
+        folded = {out: _FOLDS[fn](value).over(frame) for out, (fn, value) in folds.items()}
+        return df.withColumns(
+            {out: F.coalesce(c, F.lit(0)) if folds[out][0] == "sum" else c for out, c in folded.items()}
+        )
     d = df.withColumn(_BUCKET, F.floor(F.col(pos) / F.lit(span)).cast("long"))
     totals = d.groupBy(*by, _BUCKET).agg(
         *[_FOLDS[fn](value).alias(f"__t_{out}") for out, (fn, value) in folds.items()]
@@ -86,7 +93,7 @@ def running(
     frame = (
         W.partitionBy(*by, _BUCKET)
         .orderBy(pos)
-        .rangeBetween(W.unboundedPreceding, -1 if exclusive else W.currentRow)
+        .rangeBetween(W.unboundedPreceding, end)
     )
     inner = d.withColumns(
         {f"__i_{out}": _FOLDS[fn](value).over(frame) for out, (fn, value) in folds.items()}
@@ -125,6 +132,12 @@ def live_at(at: Column, born: Column, dies: Column) -> Column:
     return (born < at) & (dies.isNull() | (dies > at))
 
 
+def span_for(last_tick: int | None, width: int | None = None) -> int | None:
+    """Bucket width for a clock that ends at ``last_tick``: None if one bucket holds it."""
+    width = width or PHYSICAL.fold_span
+    return None if (last_tick or 0) * 4 + 3 < width else width
+
+
 def lifetime_deltas(df: DataFrame, keys: list[str]) -> DataFrame:
     """+1 / -1 steps (``pos``, ``delta``) of rows stamped valid_from / valid_to."""
     return df.select(
@@ -141,11 +154,11 @@ def lifetime_deltas(df: DataFrame, keys: list[str]) -> DataFrame:
     ).select(*keys, "s.pos", "s.delta")
 
 
-def presence_deltas(df: DataFrame, keys: list[str]) -> DataFrame:
+def presence_deltas(df: DataFrame, keys: list[str], span: int | None = PHYSICAL.fold_span) -> DataFrame:
     """Steps at which a key gains its first or loses its last live row: the count of
     distinct live keys is the running sum of these."""
     steps = lifetime_deltas(df, keys).groupBy(*keys, "pos").agg(F.sum("delta").alias("step"))
-    counted = running(steps, keys, "pos", {"now": ("sum", "step")})
+    counted = running(steps, keys, "pos", {"now": ("sum", "step")}, span=span)
     was = F.col("now") - F.col("step")
     return counted.select(
         *keys,
@@ -205,7 +218,7 @@ def _lead(k: int):
     return scan
 
 
-def first_k_live(rows: DataFrame, k: int, span: int | None = None) -> DataFrame:
+def first_k_live(rows: DataFrame, k: int, span: int | None = PHYSICAL.fold_span) -> DataFrame:
     """When is a row one of the ``k`` oldest live rows of its key?
 
     ``rows``: key STRING, id BIGINT, valid_from, valid_to.  A row is among the k oldest
@@ -213,14 +226,20 @@ def first_k_live(rows: DataFrame, k: int, span: int | None = None) -> DataFrame:
     end ticks are a mergeable summary, so keys are scanned bucket by bucket and a hot
     key is spread over many tasks.  Result: key, id, valid_from, dies, lead_from.
     """
-    span = span or PHYSICAL.fold_span
+    bucket = F.lit(0) if span is None else F.floor(F.col("valid_from") / span)
     d = rows.select(
         "key",
         "id",
         "valid_from",
         F.coalesce("valid_to", F.lit(FOREVER)).alias("dies"),
-        F.floor(F.col("valid_from") / span).cast("long").alias("bucket"),
+        bucket.cast("long").alias("bucket"),
     )
+    result = "key string, id long, valid_from long, dies long, lead_from long"
+    if span is None:
+        return (
+            d.withColumn("held", F.lit(None).cast("array<long>"))
+            .repartition("key").sortWithinPartitions("key", "valid_from").mapInPandas(_lead(k), result)
+        )
     tops = d.groupBy("key", "bucket").agg(
         F.slice(F.sort_array(F.collect_list("dies"), asc=False), 1, k).alias("tops")
     )
@@ -233,9 +252,7 @@ def first_k_live(rows: DataFrame, k: int, span: int | None = None) -> DataFrame:
         d.join(held, ["key", "bucket"])
         .repartition("key", "bucket")
         .sortWithinPartitions("key", "bucket", "valid_from")
-        .mapInPandas(
-            _lead(k), "key string, id long, valid_from long, dies long, lead_from long"
-        )
+        .mapInPandas(_lead(k), result)
     )
 
 
@@ -303,7 +320,8 @@ def stab(
 
 
 def as_of_last(
-    facts: DataFrame, readers: DataFrame, key: str, tick: str, value: str, at: str, out: str
+    facts: DataFrame, readers: DataFrame, key: str, tick: str, value: str, at: str, out: str,
+    span: int | None = PHYSICAL.fold_span,
 ) -> DataFrame:
     """Last ``value`` written for ``key`` strictly before each reader (left join)."""
     carried = [c for c in readers.columns if c != key]
@@ -319,7 +337,7 @@ def as_of_last(
         F.lit(None).cast(written.schema["w"].dataType).alias("w"),
         F.struct(*carried).alias("r"),
     )
-    folded = running(written.unionByName(asked), [key], "pos", {"last": ("max", "w")})
+    folded = running(written.unionByName(asked), [key], "pos", {"last": ("max", "w")}, span=span)
     return folded.where("r IS NOT NULL").select(key, "r.*", F.col("last.v").alias(out))
 
 
@@ -330,6 +348,7 @@ def as_of_total(
     at: str,
     out: str,
     after: bool = False,
+    span: int | None = PHYSICAL.fold_span,
 ) -> DataFrame:
     """Sum of ``delta`` up to each reader; ``deltas`` has keys, pos, delta."""
     carried = [c for c in readers.columns if c not in keys]
@@ -341,5 +360,5 @@ def as_of_total(
         F.lit(0).cast("long").alias("delta"),
         F.struct(*carried).alias("r"),
     )
-    folded = running(steps.unionByName(asked), keys, "pos", {out: ("sum", "delta")})
+    folded = running(steps.unionByName(asked), keys, "pos", {out: ("sum", "delta")}, span=span)
     return folded.where("r IS NOT NULL").select(*keys, "r.*", out)

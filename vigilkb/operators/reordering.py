@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vigilkb.config import PHYSICAL
 from vigilkb.operators.ordering import number_rows, running
 from vigilkb.session import cut
 
 
-def previous_event(events: DataFrame) -> DataFrame:
+def previous_event(events: DataFrame, span: int | None = PHYSICAL.fold_span) -> DataFrame:
     """Adds ``prev``: the document's previous event, if any."""
-    return running(events, ["doc_id"], "seq", {"prev": ("max", "seq")}, exclusive=True)
+    return running(events, ["doc_id"], "seq", {"prev": ("max", "seq")}, exclusive=True, span=span)
 
 
-def order_constraints(events: DataFrame) -> DataFrame:
+def order_constraints(events: DataFrame, span: int | None = PHYSICAL.fold_span) -> DataFrame:
     """(pred, succ) rows, repeats kept: an update follows its document's previous event,
     and a conflict follows the first event of every document it implicates."""
-    updates = previous_event(events.select("seq", "op", "doc_id")).where("op = 'update' AND prev IS NOT NULL")
+    updates = previous_event(events.select("seq", "op", "doc_id"), span).where("op = 'update' AND prev IS NOT NULL")
     first = events.groupBy("doc_id").agg(F.min("seq").alias("pred"))
     implied = (
         events.select("seq", F.explode("implicates").alias("doc_id")).join(first, "doc_id")
@@ -35,7 +36,9 @@ def _priority(seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("seq").cast("string"))), 1, 12), 16, 10).cast("long")
 
 
-def random_order(events: DataFrame, seed: int, max_rounds: int = 1000) -> DataFrame:
+def random_order(
+    events: DataFrame, seed: int, max_rounds: int = 1000, span: int | None = PHYSICAL.fold_span
+) -> DataFrame:
     """A random order that respects all constraints: adds ``position`` (from 1).
 
     Every event draws a random priority; an event that must wait is lifted just above
@@ -43,10 +46,10 @@ def random_order(events: DataFrame, seed: int, max_rounds: int = 1000) -> DataFr
     Runs of updates of one document are lifted by a running maximum in one go, so rounds
     follow the nesting of implications, not the length of a document's history.
     """
-    base = previous_event(events.select("seq", "op", "doc_id")).withColumn(
+    base = previous_event(events.select("seq", "op", "doc_id"), span).withColumn(
         "opens", F.when((F.col("op") == "update") & F.col("prev").isNotNull(), 0).otherwise(1).cast("long")
     ).withColumn("one", F.lit(1).cast("long"))
-    chained = running(base, ["doc_id"], "seq", {"chain": ("sum", "opens"), "idx": ("sum", "one")})
+    chained = running(base, ["doc_id"], "seq", {"chain": ("sum", "opens"), "idx": ("sum", "one")}, span=span)
     keyed = cut(chained.select("seq", "doc_id", "chain", "idx", _priority(seed).alias("key")))
     first = events.groupBy("doc_id").agg(F.min("seq").alias("pred"))
     implied = cut(
@@ -60,7 +63,7 @@ def random_order(events: DataFrame, seed: int, max_rounds: int = 1000) -> DataFr
         )
         raised = keyed.join(lifted, "seq", "left").withColumn("want", F.greatest("key", "least"))
         flat = raised.withColumn("flat", F.col("want") - F.col("idx"))
-        ran = running(flat, ["doc_id", "chain"], "seq", {"top": ("max", "flat")})
+        ran = running(flat, ["doc_id", "chain"], "seq", {"top": ("max", "flat")}, span=span)
         nxt = cut(ran.select("seq", "doc_id", "chain", "idx", (F.col("top") + F.col("idx")).alias("new"), "key"))
         moved = not nxt.where("new <> key").isEmpty()
         keyed = nxt.select("seq", "doc_id", "chain", "idx", F.col("new").alias("key"))
@@ -72,10 +75,12 @@ def random_order(events: DataFrame, seed: int, max_rounds: int = 1000) -> DataFr
     return events.drop("position").join(placed.select("seq", "position"), "seq")
 
 
-def shuffles(events: DataFrame, n: int, base_seed: int) -> list[tuple[int, DataFrame]]:
+def shuffles(
+    events: DataFrame, n: int, base_seed: int, span: int | None = PHYSICAL.fold_span
+) -> list[tuple[int, DataFrame]]:
     """``n`` variants with seeds base_seed, base_seed + 1, ... and seq renumbered from 1."""
     return [
-        (base_seed + k, random_order(events, base_seed + k).drop("seq").withColumnRenamed("position", "seq"))
+        (base_seed + k, random_order(events, base_seed + k, span=span).drop("seq").withColumnRenamed("position", "seq"))
         for k in range(n)
     ]
 

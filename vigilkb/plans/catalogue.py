@@ -18,7 +18,7 @@ from vigilkb.operators import lifecycle as lc
 from vigilkb.operators import reordering as ro
 from vigilkb.operators.facets import facet_weights, facets_of, metadata_candidates
 from vigilkb.operators.knn import knn_join, vector_candidates
-from vigilkb.operators.ordering import number_rows
+from vigilkb.operators.ordering import number_rows, span_for
 from vigilkb.operators.pagerank import personalised_pagerank, top_chunks
 from vigilkb.operators.replay import log_of, rebuild
 from vigilkb.plans import kb as plan
@@ -61,25 +61,29 @@ def log_roundtrip(spark, sf):
     return back.select("seq", "type", F.variant_get("payload", "$.doc_id", "string").alias("doc_id"))
 
 
+def _log_span(spark, sf):
+    return span_for(table(spark, sf, "events").agg(F.max("event_id") + 1).first()[0])
+
+
 @query
 def doc_lifecycle(spark, sf):
-    s = lc.retire_ticks(change_log(spark, sf)).where("op <> 'delete'")
+    s = lc.retire_ticks(change_log(spark, sf), _log_span(spark, sf)).where("op <> 'delete'")
     return s.select("seq", "doc_id", "op", F.col("seq").alias("valid_from"), "valid_to",
                     F.col("valid_to").isNull().cast("int").alias("live"))
 
 
 @query
 def state_at_seq(spark, sf):
-    s = lc.retire_ticks(change_log(spark, sf)).where("op <> 'delete'").withColumn("valid_from", F.col("seq"))
+    s = lc.retire_ticks(change_log(spark, sf), _log_span(spark, sf)).where("op <> 'delete'").withColumn("valid_from", F.col("seq"))
     half = table(spark, sf, "events").count() // 2
     return lc.state_at(s, half).select("seq", "doc_id", "valid_from", "valid_to")
 
 
 @query
 def active_doc_count_timeline(spark, sf):
-    log = change_log(spark, sf)
-    s = lc.retire_ticks(log).where("op <> 'delete'").withColumn("valid_from", F.col("seq"))
-    return lc.active_docs(cut(s), log.select("seq")).select("seq", F.col("active_docs").cast("long").alias("active_docs"))
+    log, span = change_log(spark, sf), _log_span(spark, sf)
+    s = lc.retire_ticks(log, span).where("op <> 'delete'").withColumn("valid_from", F.col("seq"))
+    return lc.active_docs(cut(s), log.select("seq"), span=span).select("seq", F.col("active_docs").cast("long").alias("active_docs"))
 
 
 @query
@@ -197,7 +201,7 @@ def facets_long(spark, sf):
 @query
 def facet_idf(spark, sf):
     kb = plan.from_tables(spark, sf, FACET_COLUMNS)
-    w = facet_weights(kb.asked_facets(), cut(kb.stored_facets()))
+    w = facet_weights(kb.asked_facets(), cut(kb.stored_facets()), kb.span)
     return w.select("seq", "kind", "value", F.col("df").cast("long").alias("df"), F.col("n").cast("long").alias("n"), r6("idf").alias("idf"))
 
 
@@ -211,7 +215,7 @@ def facet_shared(spark, sf):
     """Facets each candidate shares with its arrival."""
     kb = plan.from_tables(spark, sf, FACET_COLUMNS)
     asked, stored = cut(kb.asked_facets()), cut(kb.stored_facets())
-    best = metadata_candidates(facet_weights(asked, stored), stored)
+    best = metadata_candidates(facet_weights(asked, stored, kb.span), stored, span=kb.span)
     mine = best.select("seq", "cand").join(asked.select("seq", "kind", "value"), "seq")
     return (
         mine.join(stored.select(F.col("id").alias("cand"), "kind", "value"), ["cand", "kind", "value"])
@@ -317,13 +321,13 @@ def degree(spark, sf):
 @query
 def anchors_for(spark, sf):
     kb = plan.from_tables(spark, sf, GRAPH_COLUMNS)
-    return gr.anchors_for(kb.readers, kb.chunks, gr.nodes_of(kb.chunks)).select("seq", "node_id")
+    return gr.anchors_for(kb.readers, kb.chunks, cut(gr.nodes_of(kb.chunks)), kb.span).select("seq", "node_id")
 
 
 @query
 def latest_source_anchor(spark, sf):
     kb = plan.from_tables(spark, sf, ["source_id"])
-    return gr.source_anchor(kb.readers, kb.chunks).select("seq", "node_id")
+    return gr.source_anchor(kb.readers, kb.chunks, kb.span).select("seq", "node_id")
 
 
 @query
@@ -386,28 +390,28 @@ def chunk_components(spark, sf):
 @query
 def bfs_khop(spark, sf):
     kb, g = _graph(spark, sf)
-    anchors = gr.anchors_for(kb.readers, kb.chunks, g.nodes)
-    return gr.bfs_candidates(anchors, g.nodes, g.edges, hops=2, top_n=DISCOVERY.graph_top_n)
+    anchors = gr.anchors_for(kb.readers, kb.chunks, g.nodes, kb.span)
+    return gr.bfs_candidates(anchors, g.nodes, g.edges, hops=2, top_n=DISCOVERY.graph_top_n, span=kb.span)
 
 
 @query
 def graph_seeds(spark, sf):
     kb, g = _graph(spark, sf)
-    s = gr.graph_seeds(gr.anchors_for(kb.readers, kb.chunks, g.nodes), g.edges)
+    s = gr.graph_seeds(gr.anchors_for(kb.readers, kb.chunks, g.nodes, kb.span), g.edges, kb.span)
     return s.select("seq", "node_id", r6("mass").alias("mass"))
 
 
 @query
 def hybrid_seeds(spark, sf):
     kb, g = _graph(spark, sf)
-    s = gr.hybrid_seeds(kb.readers, kb.chunks, g.nodes, g.edges, g.found, DISCOVERY.hybrid_k_vec, DISCOVERY.w_entity, DISCOVERY.w_old)
+    s = gr.hybrid_seeds(kb.readers, kb.chunks, g.nodes, g.edges, g.found, DISCOVERY.hybrid_k_vec, DISCOVERY.w_entity, DISCOVERY.w_old, kb.span)
     return s.select("seq", "population", "node_id", "members", r6("mass").alias("mass"))
 
 
 @query
 def ppr_fixed_iters(spark, sf):
     kb, g = _graph(spark, sf)
-    seeds = cut(gr.graph_seeds(gr.anchors_for(kb.readers, kb.chunks, g.nodes), g.edges))
+    seeds = cut(gr.graph_seeds(gr.anchors_for(kb.readers, kb.chunks, g.nodes, kb.span), g.edges, kb.span))
     scores = personalised_pagerank(seeds, gr.walk_steps(g.edges, False), g.nodes, alpha=DISCOVERY.damping, max_iter=5, tol=0.0)
     return top_chunks(scores, g.nodes, DISCOVERY.graph_top_n, exclude=seeds).select("seq", "cand", F.round("score", 8).alias("score"), "rank")
 
@@ -464,10 +468,23 @@ def _calls(spark, sf, k=DISCOVERY.vector_k):
     return kb, gold, calls
 
 
-def _records(spark, sf, k=DISCOVERY.vector_k, shuffle_idx=0):
-    kb, gold, calls = _calls(spark, sf, k)
-    corpus = lc.active_docs(kb.chunks, gold.select("seq"))
-    return ev.records_of(gold, calls.withColumn("ord", F.lit(0)), corpus, run_id="r", baseline="vector-only", shuffle_idx=shuffle_idx)
+def _records(spark, sf):
+    kb, gold, calls = _calls(spark, sf)
+    corpus = lc.active_docs(kb.chunks, gold.select("seq"), span=kb.span)
+    return ev.records_of(gold, calls.withColumn("ord", F.lit(0)), corpus, run_id="r", baseline="vector-only", shuffle_idx=0)
+
+
+def _sweep(spark, sf, ks=(1, 3, 5)):
+    """Records of one run per number of neighbours; a smaller k is a prefix of a larger."""
+    kb, gold = plan.from_tables(spark, sf, ["vec"]), cut(gold_of(spark, sf))
+    found = cut(plan.vector_only(kb, max(ks)))
+    corpus = cut(lc.active_docs(kb.chunks, gold.select("seq"), span=kb.span))
+    out = None
+    for i, k in enumerate(ks):
+        calls = jd.oracle_judge(found.where(F.col("rank") <= k), kb.chunks, gold.where("op <> 'delete'"))
+        rec = ev.records_of(gold, calls.withColumn("ord", F.lit(0)), corpus, run_id="r", baseline="vector-only", shuffle_idx=i)
+        out = rec if out is None else out.unionByName(rec)
+    return out
 
 
 @query
@@ -504,8 +521,11 @@ def human_pending(spark, sf):
 @query
 def judge_call_merge(spark, sf):
     """Each event judged twice, with one and with five neighbours."""
-    _, _, a = _calls(spark, sf, 1)
-    _, _, b = _calls(spark, sf, 5)
+    kb, gold = plan.from_tables(spark, sf, ["vec"]), cut(gold_of(spark, sf))
+    found = cut(plan.vector_only(kb, 5))
+    a, b = (
+        jd.oracle_judge(found.where(F.col("rank") <= k), kb.chunks, gold.where("op <> 'delete'")) for k in (1, 5)
+    )
     m = ev.merge_calls(a.withColumn("ord", F.lit(0)).unionByName(b.withColumn("ord", F.lit(1))))
     return m.select("seq", "label", F.array_join("candidate_docs", "|").alias("candidate_docs"),
                     F.array_join("implicated_docs", "|").alias("implicated_docs"))
@@ -549,25 +569,23 @@ def audit_summary(spark, sf):
 @query
 def aggregate_shuffles(spark, sf):
     """Mean and spread over three runs that differ in the number of neighbours."""
-    runs = [ev.summarise(_records(spark, sf, k, i), ["shuffle_idx"]) for i, k in enumerate((1, 3, 5))]
-    return ev.aggregate(runs[0].unionByName(runs[1]).unionByName(runs[2]))
+    return ev.aggregate(ev.summarise(_sweep(spark, sf), ["shuffle_idx"]))
 
 
 @query
 def aggregate_label_rates(spark, sf):
-    runs = [ev.summarise_labels(_records(spark, sf, k, i), ["shuffle_idx"]) for i, k in enumerate((1, 3, 5))]
-    return ev.aggregate_labels(runs[0].unionByName(runs[1]).unionByName(runs[2]))
+    return ev.aggregate_labels(ev.summarise_labels(_sweep(spark, sf), ["shuffle_idx"]))
 
 
 @query
 def order_dag_edges(spark, sf):
-    return ro.order_constraints(cut(gold_of(spark, sf)))
+    return ro.order_constraints(cut(gold_of(spark, sf)), _log_span(spark, sf))
 
 
 @query
 def dag_in_degree(spark, sf):
     g = cut(gold_of(spark, sf))
-    return ro.in_degree(g, ro.order_constraints(g))
+    return ro.in_degree(g, ro.order_constraints(g, _log_span(spark, sf)))
 
 
 @query
@@ -583,7 +601,7 @@ def label_histogram(spark, sf):
 @query
 def shuffle_valid(spark, sf):
     """A constraint-respecting order of the whole log, seed 42."""
-    return ro.random_order(cut(gold_of(spark, sf)), 42).select("seq", "position")
+    return ro.random_order(cut(gold_of(spark, sf)), 42, span=_log_span(spark, sf)).select("seq", "position")
 
 
 CATALOGUE["lexicon_mentions"] = CATALOGUE.pop("lexicon_mentions_q")

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilkb.config import DISCOVERY, Discovery
+from vigilkb.config import DISCOVERY, PHYSICAL, Discovery
 from vigilkb.operators.facets import facet_weights, facets_of, metadata_candidates
 from vigilkb.operators.graph import (
     anchors_for,
@@ -20,9 +20,10 @@ from vigilkb.operators.graph import (
 )
 from vigilkb.operators.knn import vector_candidates
 from vigilkb.operators.lifecycle import chunks_of, source_or_doc
+from vigilkb.operators.ordering import span_for
 from vigilkb.operators.pagerank import personalised_pagerank, top_chunks
 from vigilkb.session import cut
-from vigilkb.sources.tables import arrivals
+from vigilkb.sources.tables import arrivals, table
 
 
 @dataclass
@@ -32,6 +33,7 @@ class KB:
 
     readers: DataFrame
     chunks: DataFrame
+    span: int | None = PHYSICAL.fold_span
 
     def asked_facets(self) -> DataFrame:
         return facets_of(self.readers, ["seq", "at"])
@@ -56,11 +58,12 @@ def keyed(df: DataFrame) -> DataFrame:
 def from_tables(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> KB:
     """KB of the shared test tables.  The arrivals join is materialised once."""
     base = keyed(arrivals(spark, sf_dir))
-    chunks = chunks_of(base)
+    span = span_for(table(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0])
+    chunks = chunks_of(base, span)
     if columns is not None:
         chunks = chunks.select(*dict.fromkeys(["seq", "op", "doc_id", "valid_from", "valid_to", *columns]))
     chunks = cut(chunks)
-    return KB(readers=chunks.withColumn("at", F.col("seq")), chunks=chunks)
+    return KB(readers=chunks.withColumn("at", F.col("seq")), chunks=chunks, span=span)
 
 
 # ----------------------------------------------------------------- strategies
@@ -93,17 +96,17 @@ def vector_only(kb: KB, k: int = DISCOVERY.vector_k) -> DataFrame:
 
 def metadata_only(kb: KB, **kw) -> DataFrame:
     stored = cut(kb.stored_facets())
-    return metadata_candidates(facet_weights(kb.asked_facets(), stored), stored, **kw)
+    return metadata_candidates(facet_weights(kb.asked_facets(), stored, kb.span), stored, **{"span": kb.span, **kw})
 
 
 def graph_only(kb: KB, g: Graph, **kw) -> DataFrame:
-    seeds = cut(graph_seeds(anchors_for(kb.readers, kb.chunks, g.nodes), g.edges))
+    seeds = cut(graph_seeds(anchors_for(kb.readers, kb.chunks, g.nodes, kb.span), g.edges, kb.span))
     scores = personalised_pagerank(seeds, walk_steps(g.edges, False), g.nodes, alpha=DISCOVERY.damping, **kw)
     return top_chunks(scores, g.nodes, DISCOVERY.graph_top_n, exclude=seeds)
 
 
 def hybrid(kb: KB, g: Graph, p: Discovery = DISCOVERY, **kw) -> DataFrame:
-    seeds = hybrid_seeds(kb.readers, kb.chunks, g.nodes, g.edges, g.found, p.hybrid_k_vec, p.w_entity, p.w_old)
+    seeds = hybrid_seeds(kb.readers, kb.chunks, g.nodes, g.edges, g.found, p.hybrid_k_vec, p.w_entity, p.w_old, kb.span)
     start = cut(teleport(seeds, kb.chunks, p.w_old))
     scores = personalised_pagerank(start, walk_steps(g.edges, True), g.nodes, alpha=1.0 - p.restart, **kw)
     return top_chunks(scores, g.nodes, p.hybrid_top_n)

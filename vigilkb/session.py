@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,16 +25,23 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only if none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="vigilkb-ckpt-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a temporary one only if none is."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vigilkb-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so that lost executors do not
-    replay the whole plan and repeated reads see the same rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise once as a table in the shared folder and go on from there.
+
+    Lost executors do not replay the plan, repeated reads see the same rows and only the
+    columns they need, and the planner knows the table's real size, so it broadcasts it
+    only when it is small.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/vigilkb/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
