@@ -69,7 +69,7 @@ def test_first_k_live_and_stab(spark, span, small):
         assert got[t] == set([r[0] for r in rows if alive(r, t)][:3])
 
 
-@pytest.mark.parametrize("block_rows,pivots", [(1000, 1), (8, 4), (5, 7)])
+@pytest.mark.parametrize("block_rows,pivots", [(1000, None), (16, None), (1000, 1), (8, 4), (5, 7)])
 @pytest.mark.parametrize("spread", [1.0, 0.05])
 def test_knn_join(spark, block_rows, pivots, spread):
     """Clustered vectors (so that pruning happens) with exact duplicates (so that ties do)."""

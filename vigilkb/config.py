@@ -34,8 +34,10 @@ class Physical:
     """Execution knobs: they change cost, never results."""
 
     # rows per packed vector block, and the most pivots a KNN join may use
-    block_rows: int = 1024
+    block_rows: int = 512
     max_pivots: int = 256
+    # largest corpus, in bytes of vectors, that a KNN join broadcasts
+    corpus_bytes: int = 32 << 20
     # width (in clock ticks) of one bucket of a two-level running fold
     fold_span: int = 65_536
     # postings longer than this are answered by leader lists, not by pair joins

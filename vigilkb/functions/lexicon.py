@@ -60,11 +60,8 @@ def _has_any(low: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(p) for p in patterns])
 
 
-def _mention(kind: str, surface: Column, context: str, when: Column) -> Column:
-    return F.when(
-        when,
-        F.struct(F.lit(kind).alias("type"), surface.alias("surface"), F.lit(context).alias("context")),
-    )
+def _mention(kind: str, surface: Column, context: str) -> Column:
+    return F.struct(F.lit(kind).alias("type"), surface.alias("surface"), F.lit(context).alias("context"))
 
 
 def lexicon_mentions(text: Column) -> Column:
@@ -72,22 +69,27 @@ def lexicon_mentions(text: Column) -> Column:
     topics, dates.  A name is found when any of its patterns is a substring; a topic's
     surface is its first pattern that occurs.  The lexicon is a fixed list, so the whole
     extraction is one projection."""
-    low = F.lower(text)
+    # one-element array: the lower-cased text is bound once, not once per pattern
+    return F.transform(F.array(F.lower(text)), _found_in)[0]
+
+
+def _found_in(low: Column) -> Column:
+    """Every pattern is looked for once; a mention without a surface was not found."""
     found = [
-        _mention(kind, F.lit(name), context, _has_any(low, patterns))
+        _mention(kind, F.when(_has_any(low, patterns), name), context)
         for kind, book in (("person", PERSONS), ("org", ORGS))
         for name, (patterns, context) in book.items()
     ]
-    for patterns in TOPICS.values():
-        first = F.coalesce(*[F.when(low.contains(p), F.lit(p)) for p in patterns])
-        found.append(_mention("topic", first, "", first.isNotNull()))
     found += [
-        _mention("date", F.lit(shown), "", _has_any(low, patterns)) for shown, patterns in DATES.items()
+        _mention("topic", F.coalesce(*[F.when(low.contains(p), F.lit(p)) for p in patterns]), "")
+        for patterns in TOPICS.values()
     ]
-    return F.filter(F.array(*found), lambda m: m.isNotNull())
+    found += [_mention("date", F.when(_has_any(low, patterns), shown), "") for shown, patterns in DATES.items()]
+    return F.filter(F.array(*found), lambda m: m["surface"].isNotNull())
 
 
 def snap_topic(key: Column, vocabulary: dict[str, list[str]] | None = None) -> Column:
     """First vocabulary slug with a pattern inside the normalised surface, else null."""
     vocabulary = TOPICS if vocabulary is None else vocabulary
-    return F.coalesce(*[F.when(_has_any(key, p), F.lit(slug)) for slug, p in vocabulary.items()])
+    first = lambda low: F.coalesce(*[F.when(_has_any(low, p), F.lit(slug)) for slug, p in vocabulary.items()])
+    return F.transform(F.array(key), first)[0]

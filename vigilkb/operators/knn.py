@@ -11,7 +11,8 @@ are paired by equi-joins on their pivots in two passes:
    they cannot beat that bound, or no vector in them was alive when the queries ran.
 
 Pruned pairs provably hold no result, so the join is exact for any data.  A pivot that
-attracts a large share of the vectors just has more blocks.
+attracts a large share of the vectors just has more blocks.  A corpus that was measured
+to be small skips all this and is broadcast to the query blocks.
 """
 
 from __future__ import annotations
@@ -124,6 +125,8 @@ def _pack(side: DataFrame, birth: str) -> DataFrame:
 
 def _blocked(side: DataFrame, total: int, newest: int, pivots: int, rows: int) -> DataFrame:
     """Add a block name: pivot, birth-time slice, and a salt where a slice is full."""
+    if total <= rows:
+        return side.withColumn("block", F.concat_ws(":", "grp", "pivot"))
     slices = max(1, -(-total // (pivots * rows)))
     width = max(1, -(-(newest + 1) // slices))
     cell = side.withColumn("slice", F.floor(F.col("born") / width).cast("long"))
@@ -167,10 +170,11 @@ def knn_join(
         F.col("vec").cast("array<double>").alias("vec"),
     )
     def extent(d: DataFrame, side: int) -> DataFrame:
-        return d.agg(F.lit(side).alias("side"), F.count("*").alias("n"), F.max("born").alias("b"))
+        return d.agg(F.lit(side).alias("side"), F.count("*").alias("n"), F.max("born").alias("b"), F.max(F.size("vec")).alias("dim"))
 
     asked, size = sorted(extent(q, 0).unionByName(extent(c, 1)).collect())
-    pivots = int(max(1, min(max_pivots or PHYSICAL.max_pivots, size["n"] // (8 * rows))))
+    fits = size["n"] * (size["dim"] or 0) * 8 <= PHYSICAL.corpus_bytes and max_pivots is None
+    pivots = 1 if fits else int(max(1, min(max_pivots or PHYSICAL.max_pivots, size["n"] // (8 * rows))))
     if pivots > 1:
         # at most max_pivots vectors reach the driver
         picked = c.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").collect()
@@ -193,17 +197,29 @@ def knn_join(
     kernel, result = _score(k, decimals, floor), "qid long, cid long, score double"
     per_query = W.partitionBy("qid").orderBy(F.desc("score"), "cid")
 
-    if pivots == 1:
-        hits = (
-            qb.join(cb.drop("pivot"), "grp").where(alive)
-            .repartition(F.col("q_block"), F.col("block"))
-            .mapInArrow(kernel, result)
-        )
+    if fits:
+        # the corpus was measured: it is small enough to meet the query blocks where they are
+        spread = qb.repartition(F.col("q_block"))
+        hits = spread.join(F.broadcast(cb.drop("pivot")), "grp").where(alive).mapInArrow(kernel, result)
         return hits.withColumn("rank", F.row_number().over(per_query).cast("long")).where(F.col("rank") <= k)
 
     # Blocks are read several times, so they are written once to the shared folder.
     qb, cb = cut(qb), cut(cb)
-    home = cut(qb.join(cb, ["grp", "pivot"]).where(alive).mapInArrow(kernel, result))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """Attach the blocks to (q_block, block) names.  The pairing itself only moves
+        names, so a pivot that holds many blocks does not gather their vectors."""
+        return (
+            pairs.join(qb.select("q_block", "q_ids", "q_ats", "q_vecs"), "q_block")
+            .join(cb.select("block", "ids", "borns", "dies", "vecs"), "block")
+            .mapInArrow(kernel, result)
+        )
+
+    q_names = qb.select("grp", "pivot", "q_block", "q_lo", "q_hi")
+    c_names = cb.select("grp", "pivot", "block", "lo", "hi")
+    home = cut(scored(q_names.join(c_names, ["grp", "pivot"]).where(alive).select("q_block", "block")))
+    if pivots == 1:
+        return home.withColumn("rank", F.row_number().over(per_query).cast("long")).where(F.col("rank") <= k)
     balls = "block string, grp string, pivot int, lo long, hi long, centre array<double>, radius double"
     c_ball = cb.mapInArrow(_ball, balls)
     q_ball = (
@@ -250,11 +266,7 @@ def knn_join(
         .where(alive & reach)
         .select("q_block", "block")
     )
-    away = (
-        pairs.join(qb.select("q_block", "q_ids", "q_ats", "q_vecs"), "q_block")
-        .join(cb.select("block", "ids", "borns", "dies", "vecs"), "block")
-        .mapInArrow(kernel, result)
-    )
+    away = scored(pairs)
     hits = home.unionByName(away)
     return hits.withColumn("rank", F.row_number().over(per_query).cast("long")).where(F.col("rank") <= k)
 

@@ -168,8 +168,8 @@ def knn_candidates(spark, sf):
 @query
 def knn_query_topk(spark, sf):
     """Retrieval: the five best documents for every benchmark text."""
-    docs = embed_texts(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id", "text")
-    asks = embed_texts(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), "id", "text")
+    docs = cut(embed_texts(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id", "text").select("id", "vec"))
+    asks = cut(embed_texts(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), "id", "text").select("id", "vec"))
     corpus = docs.select("id", F.lit(0).alias("valid_from"), F.lit(None).cast("long").alias("valid_to"), "vec")
     found = knn_join(asks.select("id", F.lit(1).alias("at"), "vec"), corpus, DISCOVERY.vector_k)
     return found.select(F.col("qid").alias("item_id"), F.col("cid").alias("doc_id"), "score", "rank")
@@ -444,7 +444,7 @@ def rebuild_from_log(spark, sf):
 def gold_of(spark, sf):
     """Labelled arrivals: quality/toxicity marks stand for the gold label, and the first
     document of the same entity plus the declared sources are what a conflict implicates."""
-    a = plan.keyed(plan.arrivals(spark, sf)).select("seq", "op", "doc_id", "entity", "derived_from")
+    a = plan.keyed(plan.arrivals(spark, sf, titles=False)).select("seq", "op", "doc_id", "entity", "derived_from")
     marks = table(spark, sf, "labels").select((F.col("doc_id") + 1).alias("seq"), "quality", "toxic")
     first = a.groupBy("entity").agg(F.min_by("doc_id", "seq").alias("first_doc"))
     label = (

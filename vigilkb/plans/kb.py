@@ -57,7 +57,7 @@ def keyed(df: DataFrame) -> DataFrame:
 
 def from_tables(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> KB:
     """KB of the shared test tables.  The arrivals join is materialised once."""
-    base = keyed(arrivals(spark, sf_dir))
+    base = keyed(arrivals(spark, sf_dir, titles=columns is None or "title" in columns))
     span = span_for(table(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0])
     chunks = chunks_of(base, span)
     if columns is not None:

@@ -32,7 +32,7 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def arrivals(spark: SparkSession, sf_dir: str, titles: bool = True) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
         (F.col("event_id") + 1).alias("seq"),
@@ -55,14 +55,11 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("label-"), F.col("label")).alias("entity"),
         F.col("embedding").alias("vec"),
     )
+    paired = vecs.join(events, "id").join(docs, "id")
+    if not titles:
+        return paired.drop("id")
     pages = table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("id"),
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
     )
-    return (
-        vecs.join(events, "id")
-        .join(docs, "id")
-        .join(pages, "id", "left")
-        .withColumn("title", F.coalesce("title", F.lit("")))
-        .drop("id")
-    )
+    return paired.join(pages, "id", "left").withColumn("title", F.coalesce("title", F.lit(""))).drop("id")
