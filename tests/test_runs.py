@@ -5,6 +5,7 @@ import pytest
 
 from sequential import Base
 from vigilkb.operators.evaluation import audit_summary, summarise
+from vigilkb.plans.kb import graph_of, graph_only, hybrid
 from vigilkb.plans.runs import BASELINES, Setup, candidates_of, detect, prepare, run
 
 
@@ -42,6 +43,13 @@ def test_insert_only_equals_sequential(prepared, plain, baseline):
     assert got == expected
 
 
+@pytest.mark.parametrize("strategy", [graph_only, hybrid])
+def test_join_execution_finds_the_same(prepared, strategy):
+    g = graph_of(prepared.kb)
+    rows = lambda **kw: sorted((r.seq, r.rank, r.cand) for r in strategy(prepared.kb, g, **kw).collect())
+    assert rows(max_iter=15) == rows(max_iter=15, kernel_edges=0)
+
+
 @pytest.mark.parametrize("baseline", BASELINES)
 def test_recency_equals_sequential(prepared, plain, baseline):
     keys, events = plain

@@ -374,17 +374,20 @@ def hybrid_seeds(
     return vector.unionByName(entity).unionByName(prior)
 
 
-def teleport(seeds: DataFrame, chunks: DataFrame, w_old: float) -> DataFrame:
-    """Seed mass per node, the prior-version population spread over its chunks."""
-    direct = seeds.where("population <> 'prior'").select("seq", "at", "node_id", "mass")
-    spread = (
-        seeds.where("population = 'prior'")
-        .select("seq", "at", F.expr("substring(node_id, 5)").alias("doc_id"))
-        .join(chunks.select("doc_id", F.col("seq").alias("c"), "valid_from"), "doc_id")
-        .where("valid_from < at")
-        .select("seq", "at", _chunk_node(F.col("c")).alias("node_id"), F.lit(float(w_old)).alias("mass"))
-    )
-    return direct.unionByName(spread).groupBy("seq", "at", "node_id").agg(F.sum("mass").alias("mass"))
+def direct_mass(seeds: DataFrame) -> DataFrame:
+    """Mass of the seeds that name their node."""
+    return seeds.where("population <> 'prior'").groupBy("seq", "at", "node_id").agg(F.sum("mass").alias("mass"))
+
+
+def shared_mass(seeds: DataFrame) -> DataFrame:
+    """Mass each earlier chunk of a document gets: (seq, at, owner, mass)."""
+    return seeds.where("population = 'prior'").select(
+        "seq", "at", F.col("node_id").alias("owner"), (F.col("mass") / F.col("members")).alias("mass"))
+
+
+def members_of(chunks: DataFrame) -> DataFrame:
+    """Which chunks a document contains: (owner, node_id, valid_from)."""
+    return chunks.select(node_id("document", F.col("doc_id")).alias("owner"), _chunk_node(F.col("seq")).alias("node_id"), "valid_from")
 
 
 # ----------------------------------------------------------------- snapshot

@@ -10,12 +10,14 @@ from vigilkb.config import DISCOVERY, PHYSICAL, Discovery
 from vigilkb.operators.facets import facet_weights, facets_of, metadata_candidates
 from vigilkb.operators.graph import (
     anchors_for,
+    direct_mass,
     edges_of,
     freeze_similar,
     graph_seeds,
     hybrid_seeds,
+    members_of,
     nodes_of,
-    teleport,
+    shared_mass,
     walk_steps,
 )
 from vigilkb.operators.knn import vector_candidates
@@ -107,6 +109,8 @@ def graph_only(kb: KB, g: Graph, **kw) -> DataFrame:
 
 def hybrid(kb: KB, g: Graph, p: Discovery = DISCOVERY, **kw) -> DataFrame:
     seeds = hybrid_seeds(kb.readers, kb.chunks, g.nodes, g.edges, g.found, p.hybrid_k_vec, p.w_entity, p.w_old, kb.span)
-    start = cut(teleport(seeds, kb.chunks, p.w_old))
-    scores = personalised_pagerank(start, walk_steps(g.edges, True), g.nodes, alpha=1.0 - p.restart, **kw)
+    seeds = cut(seeds)
+    scores = personalised_pagerank(
+        direct_mass(seeds), walk_steps(g.edges, True), g.nodes, alpha=1.0 - p.restart,
+        shared=shared_mass(seeds), members=members_of(kb.chunks), **kw)
     return top_chunks(scores, g.nodes, p.hybrid_top_n)
