@@ -1,6 +1,7 @@
 """Sources, sinks, replay, streaming and the small value-level operators."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from vigilkb.functions.lexicon import lexicon_mentions
 from vigilkb.operators import evaluation as ev
 from vigilkb.operators import graph as gr
 from vigilkb.operators import judging as jd
+from vigilkb.operators.entities import prompt_text
 from vigilkb.operators.replay import log_of, rebuild
 from vigilkb.plans.kb import graph_of
-from vigilkb.plans.runs import candidates_of, compare_baselines, prepare, revalidation
 from vigilkb.plans.kb import vector_only
+from vigilkb.plans.runs import candidates_of, compare_baselines, prepare, retrieve, revalidation
 from vigilkb.sources import event_log as el
 from vigilkb.sources import gold_events as ge
 from vigilkb.sources.snapshots import load_graph, save_graph, snapshot_due, write_run
@@ -29,6 +31,8 @@ def feed(tmp_path, story):
     lines = as_json_lines(story)
     for i, part in enumerate((lines[:5], lines[5:8], lines[8:])):
         (folder / f"{i}.json").write_text("\n".join(part) + "\n\n")
+        # a file stream is read in the order of modification times
+        os.utime(folder / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
     return str(folder)
 
 
@@ -110,6 +114,35 @@ def test_revalidation_asks_successors(built):
     assert all(live[r.seq][0] < r.retired_at and (live[r.seq][1] or 1 << 40) > r.retired_at for r in rows)
 
 
+def test_retrieval(spark, built):
+    p, _ = built
+    asks = spark.createDataFrame([(7, "the library operates from nine")], "id long, text string")
+    rows = retrieve(p.kb, asks, k=3).orderBy("rank").collect()
+    assert len(rows) == 3 and rows[0].doc_id == "hours" and rows[0].seq == 9
+
+
+def test_write_folds(spark):
+    puts = spark.createDataFrame([("n", 1, "a"), ("n", 4, "b")], "node_id string, seq long, env string")
+    assert tuple(gr.latest_nodes(puts).first()) == ("n", "b", 1)
+    cols = "src string, dst string, relation string, weight double, valid_from long, valid_to long"
+    edges = spark.createDataFrame([("a", "b", "similar_to", 0.1, 1, None), ("a", "b", "similar_to", 0.2, 2, None), ("a", "b", "contains", 1.5, 1, None)], cols)
+    last = gr.latest_edges(edges)
+    assert {(r.relation, r.weight) for r in last.collect()} == {("similar_to", 0.2), ("contains", 1.5)}
+    ended = gr.revoke(last, spark.createDataFrame([("a", "b", "similar_to", 9), ("x", "y", "similar_to", 9)], "src string, dst string, relation string, at long"))
+    assert {(r.relation, r.valid_to) for r in ended.collect()} == {("similar_to", 9), ("contains", None)}
+    with pytest.raises(Exception, match="not assertable"):
+        gr.revoke(last, spark.createDataFrame([("a", "b", "contains", 9)], "src string, dst string, relation string, at long")).collect()
+    usage = spark.createDataFrame([(3, 1), (4, 2)], "input_tokens long, output_tokens long")
+    assert tuple(ev.token_usage(usage).first()) == (7, 3)
+
+
+def test_adjudicator_prompt(spark):
+    df = spark.createDataFrame([("Vance", "person", "leads", [("person-1", "Elena Vance", "person", ["E. Vance", "Vance"], 0.70049)])],
+                               "s string, t string, c string, k array<struct<canonical_id string, name string, type string, aliases array<string>, score double>>")
+    text = df.select(prompt_text(F.col("s"), F.col("t"), F.col("c"), F.col("k"))).first()[0]
+    assert text.splitlines()[-1] == "  [id=person-1] Elena Vance (type=person, aliases=['E. Vance', 'Vance'], score=0.700)"
+
+
 def test_judging_and_policies(spark):
     calls = spark.createDataFrame([(1, "clean", []), (2, "duplicate", [1]), (3, "supersedes", [1, 2])], "seq long, label string, implicated_ids array<long>")
     reports = jd.reports_of(calls)

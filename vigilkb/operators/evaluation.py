@@ -51,6 +51,12 @@ def records_of(events: DataFrame, calls: DataFrame, corpus: DataFrame, *, run_id
     )
 
 
+def token_usage(calls: DataFrame) -> DataFrame:
+    """Totals for a judge or extractor that reports its input and output tokens."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return calls.agg(total("input_tokens"), total("output_tokens"))
+
+
 def _rate(n: Column, d: Column) -> Column:
     return F.when(d > 0, F.round(n / d, 4)).otherwise(0.0)
 

@@ -176,6 +176,30 @@ def nodes_of(chunks: DataFrame, decisions: DataFrame | None = None) -> DataFrame
     return number_rows(made, ["valid_from", "stage", "place", "node_id"], "ord", start=0).drop("stage", "place")
 
 
+# ----------------------------------------------------------------- writes as folds
+
+
+def latest_nodes(puts: DataFrame) -> DataFrame:
+    """Node writes (node_id, seq, env) folded: the last envelope wins, the first write
+    keeps its place in the order."""
+    return puts.groupBy("node_id").agg(F.max_by("env", "seq").alias("env"), F.min("seq").alias("first_seq"))
+
+
+def latest_edges(puts: DataFrame) -> DataFrame:
+    """Edge writes folded: (src, dst, relation) is unique and the last write wins."""
+    keys = ["src", "dst", "relation"]
+    rest = [c for c in puts.columns if c not in keys]
+    return puts.groupBy(*keys).agg(F.max_by(F.struct(*rest), "valid_from").alias("e")).select(*keys, "e.*")
+
+
+def revoke(edges: DataFrame, revocations: DataFrame) -> DataFrame:
+    """Apply single-edge revocations (src, dst, relation, at).  Revoking a structural edge
+    is an error, a missing edge is ignored, and an earlier end stands."""
+    once = assert_edges(revocations).groupBy("src", "dst", "relation").agg(F.min("at").alias("__at"))
+    return edges.join(once, ["src", "dst", "relation"], "left").withColumn(
+        "valid_to", F.least("valid_to", "__at")).drop("__at").select(*edges.columns)
+
+
 # ----------------------------------------------------------------- views
 
 

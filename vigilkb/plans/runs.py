@@ -25,8 +25,8 @@ from vigilkb.operators import lifecycle as lc
 from vigilkb.operators.entities import canonical_fold, route
 from vigilkb.operators.graph import live_successors
 from vigilkb.operators.judging import decide, oracle_judge, reports_of
-from vigilkb.operators.knn import vector_candidates
-from vigilkb.operators.ordering import number_rows, span_for
+from vigilkb.operators.knn import as_corpus, knn_join, vector_candidates
+from vigilkb.operators.ordering import FOREVER, number_rows, span_for
 from vigilkb.operators.reordering import shuffles
 from vigilkb.plans.kb import KB, Graph, graph_of, graph_only, hybrid, metadata_only, vector_only
 from vigilkb.session import cut
@@ -193,6 +193,15 @@ def compare_baselines(events: DataFrame, setup: Setup = Setup(), *, n_shuffles:
     return out
 
 
+def retrieve(kb: KB, asks: DataFrame, setup: Setup = Setup(), k: int = DISCOVERY.vector_k) -> DataFrame:
+    """The ``k`` best chunks live now for each text of ``asks`` (id, text), best first:
+    (id, rank, score, seq, doc_id, text)."""
+    now = setup.embed(asks, "id", "text").select("id", F.lit(FOREVER - 1).alias("at"), "vec")
+    found = knn_join(cut(now), as_corpus(kb.chunks), k)
+    stored = kb.chunks.select("seq", "doc_id", "text")
+    return found.join(stored, found.cid == stored.seq).select(F.col("qid").alias("id"), "rank", "score", "seq", "doc_id", "text")
+
+
 def revalidation(kb: KB, edges: DataFrame, strategy: Callable[[KB], DataFrame]) -> DataFrame:
     """Candidates for every live successor of a retirement, asked again right after it:
     (retired_at, seq, cand, score, rank).  A chunk is no candidate of itself."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from vigilkb.config import DISCOVERY
@@ -38,8 +38,9 @@ class Monitor:
         """Partitions before this batch; none at the start."""
         if batch == 0:
             return spark.createDataFrame([], schema)
-        every = spark.read.option("basePath", f"{self.home}/{table}").schema(schema.add("batch", "long") if "batch" not in schema.names else schema)
-        return every.parquet(f"{self.home}/{table}").where(F.col("batch") < batch).drop("batch")
+        full = T.StructType([f for f in schema.fields if f.name != "batch"] + [T.StructField("batch", T.LongType())])
+        every = spark.read.schema(full).parquet(f"{self.home}/{table}")
+        return every.where(F.col("batch") < batch).drop("batch")
 
     def process(self, arrived: DataFrame, batch: int) -> None:
         spark = arrived.sparkSession
@@ -52,7 +53,7 @@ class Monitor:
             raise ValueError("events must arrive in the order of their seq")
         known = None
         if batch:
-            first = spark.read.parquet(f"{self.home}/entities/batch=0").schema
+            first = spark.read.parquet(f"{self.home}/entities").schema
             known = cut(self._upto(spark, "entities", batch, first))
         rows, _, entities = enrich(new, self.setup, known)
         fresh = entities if known is None else entities.join(known.select("canonical_id"), "canonical_id", "left_anti")
