@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from vigilkb.llm import chat, decontamination, neardup, packing, quality, secrets, toxicity
+from vigilkb.llm import chat, decontamination, lines, neardup, packing, quality, secrets, suffixes, surrogates, toxicity
 from vigilkb.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: The key of the surrogates; a real run passes its own secret one.
+SURROGATE_KEY = "public test key"
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
@@ -66,13 +82,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
+    "op3_suffixes": op3_suffixes,
+    "op4_lines": op4_lines,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
+    "op8_surrogates": op8_surrogates,
     "op9_neardup": op9_neardup,
     "op10_chat": op10_chat,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_lines": lines.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
 }
