@@ -1,13 +1,18 @@
-"""A training corpus from raw documents: the stages, in order, and the whole run."""
+"""A training corpus from raw documents: the stages, in order, and the whole run.
+
+Every stage takes (spark, docs, sf_dir), with the documents that its predecessor kept, and is
+written as Parquet and read again before the next one, so a lost executor costs one stage.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilkb.llm import quality
+from vigilkb.llm import decontamination, lines, neardup, packing, quality
 from vigilkb.llm.common import table
+from vigilkb.llm.queries import tokenizer_path
 from vigilkb.session import shared_folder
 
 
@@ -16,16 +21,40 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier one repeats go, and documents that have no other; n_chars follows."""
+    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id stays."""
+    return neardup.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of the remaining documents' tokens in training sequences."""
+    return packing.pack(docs, tokenizer_path())
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack),
 ]
 
-#: The first stage is a fitted classifier, which SQL cannot express.
+#: The first stage is a fitted classifier and the last one a tokeniser, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written to the shared folder and read again."""
+    """All stages over ``documents``; what each returns is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline/{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):

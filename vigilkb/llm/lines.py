@@ -17,9 +17,9 @@ line's variants meet the line that they equal.  In both the earliest member deci
 so groups are folded by their minimum, hot ones before they are shuffled, and never paired up.
 The edit distance to that earliest line is verified.
 
-Cases: a null text has no lines and stays null; empty and short lines stay; texts whose
-every line goes are empty; rows with equal doc_id are one document; a document without
-doc_id is not compared and stays as it is; other columns are kept.
+Cases: a null text has no lines and stays null; empty and short lines stay; rows with equal
+doc_id are one document; a document without doc_id is not compared and stays as it is; other
+columns are kept.
 """
 
 from __future__ import annotations
@@ -111,8 +111,8 @@ def _near(docs: DataFrame, by_id: DataFrame, firsts: DataFrame, least: int) -> D
     )
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """``docs`` with the lines of ``text`` that stay, and n_lines and n_removed (long)."""
+def _judged(docs: DataFrame, least: int) -> DataFrame:
+    """``docs`` with the places of the lines that go."""
     known = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     by_id = known.repartition(parts(docs.sparkSession), "doc_id")  # one shuffle of the texts, read by both joins
     places = _lines(known, least).select("doc_id", "pos", *_identity())
@@ -123,15 +123,28 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
         places.join(fate, ["h1", "h2"]).where(F.col("near").isNotNull() | (F.struct("doc_id", "pos") != F.col("first")))
         .groupBy("doc_id").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc_id", "__id")
     )
+    return docs.join(gone, docs["doc_id"] == gone["__id"], "left")
+
+
+def _kept() -> Column:
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     kept = F.transform(F.filter(lines, lambda s: ~F.array_contains("__gone", s["i"])), lambda s: s["x"])
-    return (
-        docs.join(gone, docs["doc_id"] == gone["__id"], "left")
-        .withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"))
-        .withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-        .withColumn("n_removed", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long"))
-        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .drop("__gone", "__id")
+    return F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+
+
+def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """``docs`` with the lines of ``text`` that stay; documents that lose every line go."""
+    emptied = F.col("__gone").isNotNull() & (F.size("__gone") == F.size(F.split("text", "\n")))
+    return _judged(docs, least).where(~emptied).select(*[(_kept() if c == "text" else F.col(c)).alias(c) for c in docs.columns])
+
+
+def report(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """(doc_id, n_lines, n_removed, text) of every document; an emptied one has an empty text."""
+    return _judged(docs.select("doc_id", "text"), least).select(
+        "doc_id",
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
+        _kept().alias("text"),
     )
 
 

@@ -17,7 +17,8 @@ surrogate another entity of the kind has too, or which is itself an entity of th
 draw again with the next attempt (of several, the smallest value keeps it) until all differ.
 
 Only documents with entities are joined to their replacements.  Cases: null and empty texts
-stay; repeated rows and ids are rewritten each; other columns are kept.
+stay; repeated rows and ids are rewritten each; other columns are kept, but for
+one named n_entities, which is replaced.
 """
 
 from __future__ import annotations
@@ -179,7 +180,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with surrogates in ``text``, and n_entities (long)."""
-    names = docs.columns
+    names = [c for c in docs.columns if c != "n_entities"]
     same = [F.xxhash64("text").alias("__k1"), F.xxhash64(F.lit("second"), "text").alias("__k2")]
     has = F.coalesce(F.col("text").rlike(ENTITY), F.lit(False))
     held = docs.withColumn("__has", has)

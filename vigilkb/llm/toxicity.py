@@ -43,18 +43,26 @@ from vigilkb.llm.linear import minimise, platt, sigmoid
 SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 20_000
 #: Most distinct units and landmarks of a fit.
-UNITS, LANDMARKS = 30_000, 160
+UNITS, LANDMARKS = 15_000, 160
 DECAY, SPAN, LONGEST = 0.5, 6, 24
 ROUNDS = 2
 FLOOR = -3.0
+#: Units need more codes than this, their start included.
+SHORTEST = 3
 THRESHOLD = 0.5
 
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
-# letters are 1..26, other letters' bytes 27, digits without a reading 28; 0 is skipped, -1 is white space
+# letters are 1..26, letters of other scripts 27, digits without a reading 28, the start of a unit 29, e and a with
+# an accent 30 and 31 (others are read as the plain letter); 0 is skipped, -1 is white space
 _CODE = np.zeros(256, np.int8)
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = 27
+_CODE[0xC3] = 0
+for _first, _letters in ((0x80, "aaaaaaaceeeeiiiidnooooo o uuuuyts"), (0xA0, "aaaaaaaceeeeiiiidnooooo o uuuuyty")):
+    for _i, _c in enumerate(_letters[:32]):
+        _CODE[_first + _i] = {"e": 30, "a": 31, " ": 0}.get(_c, ord(_c) - 96)
+_START = 29
 _CODE[48:58] = 28
 for _digit, _letter in zip("013457", "oieast", strict=True):
     _CODE[ord(_digit)] = ord(_letter) - 96
@@ -86,25 +94,28 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     joins = np.zeros(len(starts), bool)
     joins[1:] = (sizes[1:] == 1) & (sizes[:-1] == 1) & (text[starts][1:] == text[starts][:-1])
     starts = starts[~joins]
+    owners = text[starts]
+    letters = np.insert(letters, starts, _START)
+    starts = starts + np.arange(len(starts))
     sizes = np.diff(starts, append=len(letters))
     long = sizes > LONGEST
     if long.any():
         half = LONGEST // 2
         more, at = [letters], len(letters)
         extra_starts, extra_sizes, extra_text = [], [], []
-        for s, n in zip(starts[long], sizes[long], strict=True):
+        for s, n, o in zip(starts[long], sizes[long], owners[long], strict=True):
             for a in range(0, n - half, half):
                 piece = letters[s + a : s + min(a + LONGEST, n)]
                 more.append(piece)
                 extra_starts.append(at)
                 extra_sizes.append(len(piece))
-                extra_text.append(text[s])
+                extra_text.append(o)
                 at += len(piece)
-        owner = np.concatenate([text[starts[~long]], extra_text]).astype(np.int64)
+        owners = np.concatenate([owners[~long], extra_text]).astype(np.int64)
         starts = np.concatenate([starts[~long], extra_starts]).astype(np.int64)
         sizes = np.concatenate([sizes[~long], extra_sizes]).astype(np.int64)
-        return np.concatenate(more), starts, sizes, owner
-    return letters, starts, sizes, text[starts]
+        return np.concatenate(more), starts, sizes, owners
+    return letters, starts, sizes, owners
 
 
 def _triples(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
@@ -136,7 +147,7 @@ class Machine:
             total[: len(slots)] += self.table[slots] * inside * decay
         running = np.concatenate([[0.0], np.cumsum(total, dtype=np.float64)])
         out = (running[starts + sizes] - running[starts]) / _NORM[np.minimum(sizes, LONGEST)] + self.offset
-        return np.where(sizes > 2, np.maximum(out, FLOOR), FLOOR)
+        return np.where(sizes > SHORTEST, np.maximum(out, FLOOR), FLOOR)
 
     def highest(self, texts: pa.Array) -> np.ndarray:
         out = []
@@ -152,12 +163,6 @@ class Machine:
         return sigmoid(self.slope * self.highest(texts) + self.shift)
 
 
-def _words(text: str) -> list[bytes]:
-    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    letters, starts, sizes, _ = units(data, np.array([0, len(data)]))
-    return [letters[s : s + n].tobytes() for s, n in zip(starts, sizes, strict=True) if n > 2]
-
-
 def _maps(words: list[bytes]) -> np.ndarray:
     """The kernel's feature vectors, divided by the norms."""
     out = np.zeros((len(words), _TABLE), np.float32)
@@ -191,31 +196,44 @@ def fit(rows: list[tuple[str, int]]) -> Machine:
     flat = Machine(np.zeros(_TABLE, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share else -40.0))
     if share in (0.0, 1.0):
         return flat
-    sentences: list[tuple[int, list[bytes]]] = []
-    for i, (text, _) in enumerate(rows):
-        sentences += [(i, words) for s in _SENTENCE.split(text) if s and (words := sorted(set(_words(s))))]
-    often = Counter(w for _, words in sentences for w in words)
-    toxic = Counter(w for i, words in sentences if labels[i] for w in words)
-    # the units of the fit: the most frequent ones, then by their letters' checksum
-    chosen = sorted(often, key=lambda w: (-often[w], np.frombuffer(w, np.uint8).sum() % 97, w))[:UNITS]
-    place = {w: k for k, w in enumerate(chosen)}
+    sentences = [(i, x) for i, (text, _) in enumerate(rows) for x in _SENTENCE.split(text) if x]
+    owner = np.array([i for i, _ in sentences])
+    names: dict[bytes, int] = {}
+    of, within = [], []
+    for first, _, data, offsets in blocks(pa.array([x for _, x in sentences], pa.large_string())):
+        letters, starts, sizes, sentence = units(data, offsets)
+        raw, fits = letters.tobytes(), sizes > SHORTEST
+        of += [names.setdefault(raw[a : a + n], len(names)) for a, n in zip(starts[fits].tolist(), sizes[fits].tolist(), strict=True)]
+        within.append(sentence[fits] + first)
+    # one row per sentence and distinct unit
+    pair = np.unique(np.concatenate(within) * len(names) + np.array(of)) if names else np.zeros(0, np.int64)
+    if not len(pair):
+        return flat
+    within, of = pair // len(names), pair % len(names)
+    often = np.bincount(of, minlength=len(names))
+    toxic = np.bincount(of, labels[owner[within]], len(names))
+    words = list(names)
+    # the units of the fit: the most frequent ones, then by their letters
+    chosen = sorted(range(len(words)), key=lambda k: (-often[k], words[k][::-1]))[:UNITS]
+    place = np.full(len(names), -1)
+    place[chosen] = np.arange(len(chosen))
+    known = place[of] >= 0
+    within, of = within[known], place[of[known]]
+    often, toxic, words = often[chosen], toxic[chosen], [words[k] for k in chosen]
     # landmarks: units most typical of toxic sentences, and a spread of the others
-    typical = sorted(chosen, key=lambda w: (-(toxic[w] - share * often[w]) / np.sqrt(often[w]), w))[: LANDMARKS // 2]
-    others = [w for w in chosen[:: max(1, len(chosen) // (LANDMARKS // 2))] if w not in set(typical)]
-    marks = _maps([*typical, *others])
+    typical = np.argsort(-(toxic - share * often) / np.sqrt(often), kind="stable")[: LANDMARKS // 2]
+    others = np.setdiff1d(np.arange(len(words))[:: max(1, len(words) // (LANDMARKS // 2))], typical)
+    marks = _maps([words[k] for k in [*typical, *others]])
     gram = marks @ marks.T
     values, vectors = np.linalg.eigh(gram.astype(np.float64))
     good = values > 1e-5 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])  # the inverse square root, so that z.z' is the kernel
-    z = _kernel(chosen, marks.T.copy()) @ root
-    of = [np.array([place[w] for w in words if w in place], np.int64) for _, words in sentences]
-    owner = np.array([i for i, _ in sentences])
+    z = _kernel(words, marks.T.copy()) @ root
     positive = labels[owner] == 1
     w, b = np.zeros(z.shape[1]), 0.0
     for _ in range(ROUNDS):
-        pos, neg = np.zeros(len(chosen)), np.zeros(len(chosen))
-        for yes, at in zip(positive, of, strict=True):
-            (pos if yes else neg)[at] += 1
+        pos = np.bincount(of, positive[within], len(words))
+        neg = np.bincount(of, ~positive[within], len(words))
         weight = 1.0 / max(1.0, (pos + neg).sum())
 
         def loss(p: np.ndarray, pos=pos, neg=neg, weight=weight) -> tuple[float, np.ndarray]:
@@ -225,10 +243,11 @@ def fit(rows: list[tuple[str, int]]) -> Machine:
             g = 2 * weight * (neg * down - pos * up)
             return value, np.append(z.T @ g, g.sum()) + 2e-6 * p
 
-        p = minimise(loss, np.zeros(z.shape[1] + 1), 150)
+        p = minimise(loss, np.zeros(z.shape[1] + 1), 80)
         w, b = p[:-1], float(p[-1])
         f = z @ w + b
-        best = np.array([f[at].max() if len(at) else FLOOR for at in of])
+        best = np.full(len(owner), FLOOR)
+        np.maximum.at(best, within, f[of])
         top = np.full(len(rows), -np.inf)
         np.maximum.at(top, owner, best)
         positive = (labels[owner] == 1) & ((best > 0) | (best >= top[owner]))
