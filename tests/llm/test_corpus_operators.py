@@ -228,7 +228,7 @@ def test_surrogates_stay_distinct(spark):
 
 
 def test_surrogates_of_the_table(spark, sf_dir, documents):
-    forms = r"[a-z]+\.\d\d@mail\d\.example\.com|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])|\+1 \(\d{3}\) 555-\d{4}|(?<!\w)4\d{15}(?!\w)"
+    forms = r"[a-z]+\.\d\d@mail\d\.example\.com|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])|\+1 \(\d{3}\) 555-\d{4}|(?<!\w)\d{16}(?!\w)"
     got = {r.doc_id: (r.text, r.n_entities) for r in queries.op8_surrogates(spark, sf_dir).collect()}
     assert len(got) == len(documents)
     for d, t in documents:
