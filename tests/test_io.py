@@ -12,7 +12,7 @@ from vigilkb.functions.lexicon import lexicon_mentions
 from vigilkb.operators import evaluation as ev
 from vigilkb.operators import graph as gr
 from vigilkb.operators import judging as jd
-from vigilkb.operators.entities import prompt_text
+from vigilkb.operators.entities import prompt_text, quoted
 from vigilkb.operators.replay import log_of, rebuild
 from vigilkb.plans.kb import graph_of
 from vigilkb.plans.kb import vector_only
@@ -45,6 +45,27 @@ def test_gold_events(spark, feed, tmp_path, story_df):
     assert ge.as_ingest(got).select("metadata.source_id").count() == 12
 
 
+def test_rewrite_keeps_whole_records_in_order(spark, feed, tmp_path, story_df):
+    lines = ['{"seq": %d, "type": "insert", "payload": {"doc_id": "d%d", "version": %d, "odd": {"k": [1, null]}}, "_debug": {"establishes": "x"}, "more": true}' % (i, i, i) for i in range(1, 30)]
+    (tmp_path / "in.json").write_text("\n".join(lines))
+    raw = ge.read_raw(spark, str(tmp_path / "in.json"))
+    order = spark.createDataFrame([(i, 30 - i) for i in range(1, 30)], "seq long, position long")
+    ge.rewrite(raw, order, str(tmp_path / "out"))
+    parts = sorted(f for f in os.listdir(tmp_path / "out") if f.startswith("part-"))
+    got = [json.loads(line) for f in parts for line in (tmp_path / "out" / f).read_text().splitlines()]
+    assert got == [{**json.loads(lines[29 - p]), "seq": p} for p in range(1, 30)]
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from vigilkb import session
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
 def test_gold_defaults_and_errors(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"seq": 1, "type": "insert", "payload": {"doc_id": "d"}}\n')
     r = ge.read_gold(spark, str(tmp_path / "a.json")).first()
@@ -141,6 +162,9 @@ def test_adjudicator_prompt(spark):
                                "s string, t string, c string, k array<struct<canonical_id string, name string, type string, aliases array<string>, score double>>")
     text = df.select(prompt_text(F.col("s"), F.col("t"), F.col("c"), F.col("k"))).first()[0]
     assert text.splitlines()[-1] == "  [id=person-1] Elena Vance (type=person, aliases=['E. Vance', 'Vance'], score=0.700)"
+    names = ["O'Brien", 'the "Elder"', "O'Brien \"the Elder\"", "back\\slash", "two\nlines"]
+    said = spark.createDataFrame([(n,) for n in names], "s string").select("s", quoted(F.col("s")).alias("q")).collect()
+    assert {r.s: r.q for r in said} == {n: repr(n) for n in names}
 
 
 def test_judging_and_policies(spark):

@@ -5,13 +5,13 @@ from __future__ import annotations
 import argparse
 from datetime import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from vigilkb.operators.evaluation import aggregate, audit, audit_summary, summarise, summarise_labels, temporal_quartiles
-from vigilkb.operators.reordering import shuffles
+from vigilkb.operators.reordering import conflict_positions, label_histogram, random_order
 from vigilkb.plans.runs import BASELINES, Setup, compare_baselines
-from vigilkb.session import cut
-from vigilkb.sources.gold_events import read_gold, write_gold
+from vigilkb.session import clean_up, cut
+from vigilkb.sources.gold_events import read_gold, read_raw, rewrite
 from vigilkb.sources.snapshots import write_run
 
 
@@ -24,28 +24,45 @@ def main() -> None:
     ap.add_argument("--resolve", action="store_true", help="let the newest chunk replace what it implicates")
     ap.add_argument("--no-audit", action="store_true")
     ap.add_argument("--baselines", nargs="*", default=BASELINES)
-    ap.add_argument("--write-orders", help="only write the shuffled event logs to this folder")
+    ap.add_argument("--write-orders", help="only write the shuffled event logs to this folder, with their label statistics")
+    ap.add_argument("--print-rows", type=int, default=1000,
+                    help="most rows printed of one table; what is left out is counted, and --log-dir gets all of it")
     args = ap.parse_args()
     spark = SparkSession.builder.appName("vigilkb").getOrCreate()
-    events = read_gold(spark, args.input)
+
+    def show(df: DataFrame, *order: str) -> None:
+        df = cut(df)
+        df.orderBy(*order).show(args.print_rows, False)
+        if (left := df.count() - args.print_rows) > 0:
+            print(f"{left} more rows are not printed")
+
+    events = cut(read_gold(spark, args.input))
     if args.write_orders:
-        for seed, order in shuffles(cut(events), args.shuffles, args.seed):
-            write_gold(order, f"{args.write_orders}/seed={seed}")
+        raw = cut(read_raw(spark, args.input))
+        for seed in range(args.seed, args.seed + args.shuffles):
+            order = cut(random_order(events, seed))
+            rewrite(raw, order, f"{args.write_orders}/seed={seed}")
+            renumbered = order.drop("seq").withColumnRenamed("position", "seq")
+            show(label_histogram(renumbered), "expected_label")
+            show(conflict_positions(renumbered), "first")
+        clean_up(spark)
         return
     setup = Setup(policy="recency" if args.resolve else "insert_only")
     run_id = datetime.now().strftime("%Y%m%d_%H%M%S")
     records = cut(compare_baselines(events, setup, n_shuffles=args.shuffles, base_seed=args.seed,
                                     baselines=args.baselines, run_id=run_id))
     if not args.no_audit:
-        audit(records).orderBy("seq", "baseline").show(200, False)
+        show(audit(records), "seq", "baseline")
         audit_summary(records).show(truncate=False)
-    summarise(records, ["shuffle_idx"]).orderBy("shuffle_idx", "baseline").show(200, False)
-    summarise_labels(records).orderBy("baseline", "expected_label").show(200, False)
-    temporal_quartiles(records).orderBy("baseline", "quartile").show(200, False)
-    aggregate(summarise(records, ["shuffle_idx"])).orderBy("metric", "baseline").show(200, False)
+    show(summarise(records, ["shuffle_idx"]), "shuffle_idx", "baseline")
+    show(summarise_labels(records), "baseline", "expected_label")
+    show(temporal_quartiles(records), "baseline", "quartile")
+    show(aggregate(summarise(records, ["shuffle_idx"])), "metric", "baseline")
     if args.log_dir:
+        audit(records).write.mode("overwrite").json(f"{args.log_dir}/{run_id}_audit")
         meta = {"run_id": run_id, "input": args.input, "shuffles": args.shuffles, "base_seed": args.seed, "policy": setup.policy}
         write_run(records, run_id, meta, args.log_dir)
+    clean_up(spark)
 
 
 if __name__ == "__main__":

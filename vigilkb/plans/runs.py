@@ -114,9 +114,10 @@ def _graph(kb: KB, destructive: bool, asserted: DataFrame | None, decisions: Dat
     if destructive:
         # at commit the replaced chunks are gone and the chunk itself is in the index
         late = kb.readers.withColumn("at", F.col("at") + 1)
-        near = vector_candidates(late, kb.chunks, DISCOVERY.freeze_k + 1).where("cand <> seq")
+        around = cut(vector_candidates(late, kb.chunks, DISCOVERY.freeze_k + 1))
+        near = around.where("cand <> seq")
         missed = F.when(F.col("own").isNull(), F.col("rank")).when(F.col("rank") > F.col("own"), F.col("rank") - 1)
-        own = vector_candidates(late, kb.chunks, DISCOVERY.freeze_k + 1).where("cand = seq").select("seq", F.col("rank").alias("own"))
+        own = around.where("cand = seq").select("seq", F.col("rank").alias("own"))
         frozen = near.join(own, "seq", "left").withColumn("rank", F.coalesce(missed, F.col("rank"))).drop("own")
     return graph_of(kb, asserted=asserted, decisions=decisions, found=found, frozen=frozen)
 
@@ -137,7 +138,7 @@ def _mark(removed: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
-def detect(p: Prepared, baseline: str, setup: Setup = Setup(), max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def detect(p: Prepared, baseline: str, setup: Setup = Setup()) -> tuple[DataFrame, DataFrame]:
     """(calls, chunks as finally stamped)."""
     gold = p.events.where("op <> 'delete'").select("seq", "doc_id", "expected_label", "implicates")
     if setup.policy == "insert_only":
@@ -145,7 +146,8 @@ def detect(p: Prepared, baseline: str, setup: Setup = Setup(), max_rounds: int =
     if setup.policy != "recency":
         raise ValueError("a run resolves by insert_only or recency; see decide() for the human queue")
     base, kb, asserted, decisions, before = p.kb, p.kb, None, None, None
-    for _ in range(max_rounds):
+    # every round settles one more event at least
+    for _ in range(p.events.count() + 2):
         calls = cut(setup.judge(candidates_of(kb, baseline, destructive=True, asserted=asserted, decisions=decisions), kb.chunks, gold))
         made = decide(reports_of(calls), "recency")
         gone = made.select(F.explode("remove").alias("seq"), (F.col("seq") * 2 + 1).alias("tick"), F.col("seq").alias("by"))

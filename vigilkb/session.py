@@ -26,14 +26,32 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only if none is."""
+    """The folder the cluster names for checkpoints.
+
+    A session whose tasks all run in this process may go without one and gets a temporary
+    one; anywhere else a machine-local folder would be another disk for every task.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vigilkb-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{shared_folder(spark)}/vigilkb/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; what was built on them can no longer be read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise once as a table in the shared folder and go on from there.
 
@@ -42,6 +60,6 @@ def cut(df: DataFrame) -> DataFrame:
     only when it is small.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/vigilkb/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

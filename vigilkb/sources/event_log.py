@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from vigilkb.operators.ordering import number_rows
+from vigilkb.session import cut
 
 
 def encode(log: DataFrame) -> DataFrame:
@@ -48,5 +49,6 @@ def append(spark: SparkSession, path: str, entries: DataFrame, order: list[str])
             raise
         last = 0
     numbered = number_rows(entries, order, "__seq", start=last + 1).withColumn("seq", F.col("__seq"))
-    encode(numbered.select("seq", "type", "payload")).write.mode("append").text(path)
-    return current_seq(read_log(spark, path))
+    numbered = cut(numbered.select("seq", "type", "payload"))
+    encode(numbered).write.mode("append").text(path)
+    return max(last, current_seq(numbered))

@@ -50,7 +50,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_gold(events: DataFrame, path: str) -> None:
-    """Write flat events back in the labelled layout."""
+    """Write flat events in the labelled layout; see :func:`rewrite` for orders of existing records."""
     events.select(
         "seq", F.col("op").alias("type"),
         F.struct("doc_id", "title", "source_id", "text", "is_artifact", "derived_from").alias("payload"),
@@ -58,6 +58,20 @@ def write_gold(events: DataFrame, path: str) -> None:
     ).write.mode("overwrite").json(path)
 
 
+def rewrite(raw: DataFrame, order: DataFrame, path: str) -> None:
+    """Write the records of :func:`read_raw` in a new order (seq, position): whole, with unknown
+    keys, numbered by position and sorted by it across the files."""
+    key = F.variant_get("record", "$.seq", "bigint")
+    fields = F.map_filter(F.col("record").cast("map<string,variant>"), lambda k, _: k != "seq")
+    number = F.create_map(F.lit("seq"), F.parse_json(F.col("position").cast("string")))
+    placed = raw.withColumn("seq", key).join(order.select("seq", "position"), "seq")
+    (
+        placed.select("position", F.to_json(F.map_concat(number, fields)).alias("value"))
+        .repartitionByRange("position").sortWithinPartitions("position").select("value")
+        .write.mode("overwrite").text(path)
+    )
+
+
 def as_ingest(events: DataFrame) -> DataFrame:
     """The engine-facing event: labels stripped, attributes under ``metadata``."""
     return events.select(
