@@ -546,3 +546,11 @@ sql("conflict_positions", CHUNKS, GOLD, body="""
 SELECT min(p) AS first, max(p) AS last, list_sort(list(p))[count(*) // 2 + 1] AS median
 FROM (SELECT seq - 1 AS p FROM gold WHERE expected_label <> 'clean')""")
 sql("label_histogram", CHUNKS, GOLD, body="SELECT expected_label, count(*) AS n FROM gold GROUP BY expected_label")
+# the least order that respects the constraints: an event's key is the largest of its own
+# random one and, along every chain of predecessors, theirs plus the steps between
+sql("shuffle_valid", CHUNKS, GOLD, DAG, """
+step AS (SELECT DISTINCT pred, succ FROM dag),
+lifted AS (
+  SELECT seq, ('0x' || substr(md5('42:' || seq), 1, 12))::BIGINT AS key FROM gold
+  UNION SELECT s.succ, l.key + 1 FROM lifted l JOIN step s ON s.pred = l.seq)""", recursive=True, body="""
+SELECT seq, row_number() OVER (ORDER BY max(key), seq) AS position FROM lifted GROUP BY seq""")
