@@ -194,13 +194,13 @@ def neighbour_snippets(spark, sf):
 
 @query
 def facets_long(spark, sf):
-    kb = plan.from_tables(spark, sf, FACET_COLUMNS)
+    kb = plan.from_tables(spark, sf, FACET_COLUMNS, every=True)
     return facets_of(kb.chunks, ["seq"])
 
 
 @query
 def facet_idf(spark, sf):
-    kb = plan.from_tables(spark, sf, FACET_COLUMNS)
+    kb = plan.from_tables(spark, sf, FACET_COLUMNS, every=True)
     w = facet_weights(kb.asked_facets(), cut(kb.stored_facets()), kb.span)
     return w.select("seq", "kind", "value", F.col("df").cast("long").alias("df"), F.col("n").cast("long").alias("n"), r6("idf").alias("idf"))
 
@@ -441,17 +441,17 @@ def rebuild_from_log(spark, sf):
 # ----------------------------------------------------------------- judging and evaluation
 
 
-def gold_of(spark, sf):
+def gold_of(spark, sf, every=False):
     """Labelled arrivals: quality/toxicity marks stand for the gold label, and the first
     document of the same entity plus the declared sources are what a conflict implicates."""
-    a = plan.keyed(plan.arrivals(spark, sf, titles=False)).select("seq", "op", "doc_id", "entity", "derived_from")
-    marks = table(spark, sf, "labels").select((F.col("doc_id") + 1).alias("seq"), "quality", "toxic")
+    a = plan.keyed(plan.arrivals(spark, sf, False, every)).select("seq", "text_id", "op", "doc_id", "entity", "derived_from")
+    marks = table(spark, sf, "labels").select(F.col("doc_id").alias("text_id"), "quality", "toxic")
     first = a.groupBy("entity").agg(F.min_by("doc_id", "seq").alias("first_doc"))
     label = (
         F.when(F.col("toxic") == 1, "contradiction").when(F.col("quality") == 0, "duplicate")
         .when(F.size("derived_from") > 0, "supersedes").otherwise("clean")
     )
-    g = a.join(marks, "seq", "left").join(first, "entity").withColumn("expected_label", label)
+    g = a.join(marks, "text_id", "left").join(first, "entity").withColumn("expected_label", label)
     none = F.array().cast("array<string>")
     return g.select(
         "seq", (F.col("seq") - 1).alias("position"), "op", F.col("op").alias("event_type"), "doc_id", F.lit("").alias("intent"),
@@ -579,29 +579,29 @@ def aggregate_label_rates(spark, sf):
 
 @query
 def order_dag_edges(spark, sf):
-    return ro.order_constraints(cut(gold_of(spark, sf)), _log_span(spark, sf))
+    return ro.order_constraints(cut(gold_of(spark, sf, every=True)), _log_span(spark, sf))
 
 
 @query
 def dag_in_degree(spark, sf):
-    g = cut(gold_of(spark, sf))
+    g = cut(gold_of(spark, sf, every=True))
     return ro.in_degree(g, ro.order_constraints(g, _log_span(spark, sf)))
 
 
 @query
 def conflict_positions(spark, sf):
-    return ro.conflict_positions(gold_of(spark, sf))
+    return ro.conflict_positions(gold_of(spark, sf, every=True))
 
 
 @query
 def label_histogram(spark, sf):
-    return ro.label_histogram(gold_of(spark, sf))
+    return ro.label_histogram(gold_of(spark, sf, every=True))
 
 
 @query
 def shuffle_valid(spark, sf):
     """A constraint-respecting order of the whole log, seed 42."""
-    return ro.random_order(cut(gold_of(spark, sf)), 42, span=_log_span(spark, sf)).select("seq", "position")
+    return ro.random_order(cut(gold_of(spark, sf, every=True)), 42, span=_log_span(spark, sf)).select("seq", "position")
 
 
 CATALOGUE["lexicon_mentions"] = CATALOGUE.pop("lexicon_mentions_q")

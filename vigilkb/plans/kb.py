@@ -57,10 +57,11 @@ def keyed(df: DataFrame) -> DataFrame:
     )
 
 
-def from_tables(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> KB:
+def from_tables(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, every: bool = False) -> KB:
     """KB of the shared test tables.  The arrivals join is materialised once."""
-    base = keyed(arrivals(spark, sf_dir, titles=columns is None or "title" in columns))
-    span = span_for(table(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0])
+    base = keyed(arrivals(spark, sf_dir, columns is None or "title" in columns, every))
+    clock = ("events", "event_id") if every else ("embeddings", "vec_id")
+    span = span_for(table(spark, sf_dir, clock[0]).agg(F.max(clock[1]) + 1).first()[0])
     chunks = chunks_of(base, span)
     if columns is not None:
         chunks = chunks.select(*dict.fromkeys(["seq", "op", "doc_id", "valid_from", "valid_to", *columns]))

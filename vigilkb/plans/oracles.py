@@ -17,9 +17,9 @@ stamped AS (
     (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS valid_to
   FROM log)"""
 
-CHUNKS = """
+_CHUNKS = """
 arr AS (
-  SELECT e.vec_id + 1 AS seq,
+  SELECT v.event_id + 1 AS seq, d.doc_id AS text_id,
          CASE v.event_type WHEN 'purchase' THEN 'update' WHEN 'error' THEN 'delete' ELSE 'insert' END AS op,
          'u' || v.user_id AS doc_id, strftime(v.ts, '%Y-%m-%d') AS day,
          CASE WHEN v.event_type = 'signup' THEN ['u' || regexp_extract(v.props, '([0-9]+)', 1)]
@@ -27,14 +27,24 @@ arr AS (
          d.text, d.source AS source_id, d.lang AS topic, 'label-' || e.label AS entity,
          e.embedding::DOUBLE[] AS vec,
          coalesce(regexp_extract(p.html, '<title>([^<]*)</title>', 1), '') AS title
-  FROM embeddings e JOIN events v ON v.event_id = e.vec_id JOIN documents d ON d.doc_id = e.vec_id
-  LEFT JOIN pages p ON p.page_id = e.vec_id),
+  FROM events v JOIN embeddings e ON e.vec_id = {vec} JOIN documents d ON d.doc_id = {text}
+  LEFT JOIN pages p ON p.page_id = {page}),
 chunks AS (
   SELECT *, seq AS valid_from FROM (
     SELECT *, min(CASE WHEN op IN ('update', 'delete') THEN seq END) OVER
       (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS valid_to
     FROM arr) WHERE op <> 'delete')"""
 
+_AROUND = "v.event_id % (SELECT count(*) FROM {})"
+
+
+def _paired(vec: str, text: str, page: str) -> str:
+    return _CHUNKS.replace("{vec}", vec).replace("{text}", text).replace("{page}", page)
+
+
+CHUNKS = _paired(*["v.event_id"] * 3)
+EVERY = _paired(*[_AROUND.format(t) for t in ("embeddings", "documents", "pages")])
+
 
 def live(c: str, at: str) -> str:
     return f"{c}.valid_from < {at} AND ({c}.valid_to IS NULL OR {c}.valid_to > {at})"
@@ -204,7 +214,7 @@ gold AS (
   FROM (SELECT a.*, first_doc,
                CASE WHEN l.toxic = 1 THEN 'contradiction' WHEN l.quality = 0 THEN 'duplicate'
                     WHEN len(a.derived_from) > 0 THEN 'supersedes' ELSE 'clean' END AS expected_label
-        FROM arr a JOIN firsts USING (entity) LEFT JOIN labels l ON l.doc_id + 1 = a.seq))"""
+        FROM arr a JOIN firsts USING (entity) LEFT JOIN labels l ON l.doc_id = a.text_id))"""
 
 
 def judged(name: str = "calls", source: str = "knn") -> str:
@@ -356,8 +366,8 @@ FROM knn k JOIN chunks q ON q.seq = k.seq JOIN chunks c ON c.seq = k.cand GROUP
 
 # ----------------------------------------------------------------- metadata
 
-sql("facets_long", CHUNKS, FACETS, body="SELECT seq, kind, value FROM f")
-sql("facet_idf", CHUNKS, FACETS, WEIGHTS, body="SELECT seq, kind, value, df, n, round(idf, 6) AS idf FROM wi")
+sql("facets_long", EVERY, FACETS, body="SELECT seq, kind, value FROM f")
+sql("facet_idf", EVERY, FACETS, WEIGHTS, body="SELECT seq, kind, value, df, n, round(idf, 6) AS idf FROM wi")
 sql("metadata_candidates", CHUNKS, FACETS, WEIGHTS, METADATA, body="SELECT seq, cand, score, rank FROM meta")
 sql("facet_shared", CHUNKS, FACETS, WEIGHTS, METADATA, body="SELECT seq, cand, shared FROM meta")
 
@@ -539,16 +549,16 @@ dag AS (
   UNION ALL
   SELECT f.first_seq, i.seq FROM (SELECT seq, unnest(implicates) AS d FROM gold) i
     JOIN (SELECT doc_id, min(seq) AS first_seq FROM gold GROUP BY doc_id) f ON f.doc_id = i.d WHERE f.first_seq <> i.seq)"""
-sql("order_dag_edges", CHUNKS, GOLD, DAG, body="SELECT pred, succ FROM dag")
-sql("dag_in_degree", CHUNKS, GOLD, DAG, body="""
+sql("order_dag_edges", EVERY, GOLD, DAG, body="SELECT pred, succ FROM dag")
+sql("dag_in_degree", EVERY, GOLD, DAG, body="""
 SELECT g.seq, count(d.succ) AS in_degree FROM gold g LEFT JOIN dag d ON d.succ = g.seq GROUP BY g.seq""")
-sql("conflict_positions", CHUNKS, GOLD, body="""
+sql("conflict_positions", EVERY, GOLD, body="""
 SELECT min(p) AS first, max(p) AS last, list_sort(list(p))[count(*) // 2 + 1] AS median
 FROM (SELECT seq - 1 AS p FROM gold WHERE expected_label <> 'clean')""")
-sql("label_histogram", CHUNKS, GOLD, body="SELECT expected_label, count(*) AS n FROM gold GROUP BY expected_label")
+sql("label_histogram", EVERY, GOLD, body="SELECT expected_label, count(*) AS n FROM gold GROUP BY expected_label")
 # the least order that respects the constraints: an event's key is the largest of its own
 # random one and, along every chain of predecessors, theirs plus the steps between
-sql("shuffle_valid", CHUNKS, GOLD, DAG, """
+sql("shuffle_valid", EVERY, GOLD, DAG, """
 step AS (SELECT DISTINCT pred, succ FROM dag),
 lifted AS (
   SELECT seq, ('0x' || substr(md5('42:' || seq), 1, 12))::BIGINT AS key FROM gold

@@ -1,7 +1,9 @@
 """The shared test tables as a stream of change events.
 
-An arrival is one row of ``events`` paired, by id, with the text of ``documents`` and
-the vector of ``embeddings``; ``pages`` supplies titles.  The event's user is the
+An arrival is one row of ``events`` paired with the text of ``documents`` and the vector of
+``embeddings``; ``pages`` supplies titles.  ``every`` event takes part if its place is
+counted around the (dense) ids of the shorter tables; without it the pairs are those of
+equal ids, which the queries over ranked walks still use.  The event's user is the
 document being written, purchase/error events are updates/deletes, and the label,
 language and day act as entity, topic and date anchors.
 """
@@ -32,9 +34,12 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def arrivals(spark: SparkSession, sf_dir: str, titles: bool = True) -> DataFrame:
+def arrivals(spark: SparkSession, sf_dir: str, titles: bool = True, every: bool = False) -> DataFrame:
+    around = lambda name: F.col("event_id") % F.lit(table(spark, sf_dir, name).count() if every else 1 << 60)
     events = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"),
+        around("embeddings").alias("vec_id"),
+        around("documents").alias("text_id"),
+        around("pages").alias("page_id"),
         (F.col("event_id") + 1).alias("seq"),
         op_of(F.col("event_type")).alias("op"),
         F.concat(F.lit("u"), F.col("user_id")).alias("doc_id"),
@@ -48,18 +53,18 @@ def arrivals(spark: SparkSession, sf_dir: str, titles: bool = True) -> DataFrame
         .alias("derived_from"),
     )
     docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), "text", F.col("source").alias("source_id"), F.col("lang").alias("topic")
+        F.col("doc_id").alias("text_id"), "text", F.col("source").alias("source_id"), F.col("lang").alias("topic")
     )
     vecs = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"),
+        "vec_id",
         F.concat(F.lit("label-"), F.col("label")).alias("entity"),
         F.col("embedding").alias("vec"),
     )
-    paired = vecs.join(events, "id").join(docs, "id")
+    paired = events.join(vecs, "vec_id").join(docs, "text_id").drop("vec_id")
     if not titles:
-        return paired.drop("id")
+        return paired.drop("page_id")
     pages = table(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("id"),
+        "page_id",
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
     )
-    return paired.join(pages, "id", "left").withColumn("title", F.coalesce("title", F.lit(""))).drop("id")
+    return paired.join(pages, "page_id", "left").withColumn("title", F.coalesce("title", F.lit(""))).drop("page_id")
