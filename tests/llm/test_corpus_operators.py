@@ -84,7 +84,7 @@ def test_anchors_cut_very_long_texts(monkeypatch):
     whole = suffixes.anchors(data, np.array([0, len(data)]))
     monkeypatch.setattr(suffixes, "_PIECE", 3000)
     pieces = suffixes.anchors(data, np.array([0, len(data)]))
-    spread = lambda a: {(s + i, g) for s, n, g, _ in zip(*(x.tolist() for x in a)) for i in range(n)}
+    spread = lambda a: {(s + i, g) for s, n, g, _, _ in zip(*(x.tolist() for x in a)) for i in range(n)}
     assert spread(whole) == spread(pieces) and whole[1].sum() == len(data) - 49
 
 

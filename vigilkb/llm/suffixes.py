@@ -12,7 +12,7 @@ recursively.
 Distribution.  Winnowing picks, in every ``WIDTH``-byte string, the ``GRAM``-byte gram with the
 least hash (ties: the last one) as its anchor, so equal strings have equal anchors at equal
 places and need only be compared below the same anchor.  The strings of one anchor in a text
-are consecutive: its context is a stretch of at most 84 bytes.  Blocks of documents and
+are consecutive: its context is a stretch of at most 76 bytes.  Blocks of documents and
 hash buckets exchange packed messages twice:
 
 1. a block asks which of its anchors any other document has (four bytes per anchor, one
@@ -45,10 +45,10 @@ from pyspark.sql import DataFrame, functions as F
 from vigilkb.llm.common import mix, parts, run_hashes, small_batches
 from vigilkb.session import cut
 
-WIDTH, GRAM = 50, 16
+WIDTH, GRAM = 50, 24
 WINDOW = WIDTH - GRAM + 1
 #: Text bytes in a packed block, and anchors in a bucket, on average.
-BLOCK_BYTES, BUCKET_ANCHORS = 8 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_ANCHORS = 8 << 20, 1 << 19
 HOT_BLOCKS = 4096
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -70,64 +70,72 @@ def suffix_order(text: list[int]) -> list[int]:
     members: list[list[int]] = [[] for _ in letters]
     for i, g in enumerate(group):
         members[g].append(i)
+    size = [len(m) for m in members]
     below = list(range(-1, len(letters) - 1))
     above = [*range(1, len(letters)), -1]
     done = [False] * len(letters)
     smaller = [-1] * n
+
+    def part(old: int, some: list[int]) -> None:
+        """``some`` members of a group become a group of their own, right above it."""
+        new = len(members)
+        up = above[old]
+        members.append(some)
+        size.append(len(some))
+        size[old] -= len(some)
+        done.append(False)
+        below.append(old)
+        above.append(up)
+        below[up] = new
+        above[old] = new
+        for p in some:
+            group[p] = new
+
     now = len(letters) - 1
     while now != -1:
-        own = [i for i in members[now] if group[i] == now]
-        members[now] = own
+        own = members[now]
+        if len(own) != size[now]:
+            own = [i for i in own if group[i] == now]
         done[now] = True
-        times: dict[int, int] = {}
-        for i in own:
-            p = i - 1
+        if len(own) == 1:
+            p = own[0] - 1
             while p >= 0 and done[group[p]]:
                 p = smaller[p]
-            smaller[i] = p
-            if p >= 0:
-                times[p] = times.get(p, 0) + 1
-        if times:
-            # those that this group extends most often are the largest; within a group they go right above it
-            many = max(times.values())
-            levels: list[list[int]] = [[] for _ in range(many + 1)]
+            smaller[own[0]] = p
+            # a group that is extended as a whole stays as it is
+            if p >= 0 and size[group[p]] > 1:
+                part(group[p], [p])
+        else:
+            times: dict[int, int] = {}
+            for i in own:
+                p = i - 1
+                while p >= 0 and done[group[p]]:
+                    p = smaller[p]
+                smaller[i] = p
+                if p >= 0:
+                    times[p] = times.get(p, 0) + 1
+            # those that this group extends most often are the largest of their group
+            levels: dict[int, dict[int, list[int]]] = {}
             for p, t in times.items():
-                levels[t].append(p)
-            for level in reversed(levels):
-                fresh: dict[int, int] = {}
-                for p in level:
-                    old = group[p]
-                    new = fresh.get(old)
-                    if new is None:
-                        new = fresh[old] = len(members)
-                        members.append([])
-                        done.append(False)
-                        below.append(old)
-                        above.append(above[old])
-                        below[above[old]] = new
-                        above[old] = new
-                    members[new].append(p)
-                    group[p] = new
+                levels.setdefault(t, {}).setdefault(group[p], []).append(p)
+            for t in sorted(levels, reverse=True):
+                for old, some in levels[t].items():
+                    if len(some) != size[old]:
+                        part(old, some)
         now = below[now]
     # ascending: where every group begins
     start = [0] * len(members)
-    sizes = [0] * len(members)
-    for g in group:
-        sizes[g] += 1
     at, low = 0, 0
     while below[low] != -1:
         low = below[low]
     while low != -1:
         start[low] = at
-        at += sizes[low]
+        at += size[low]
         low = above[low]
     order = [-1] * n
     placed = bytearray(n)
-    source = n
-    for k in range(n + 1):
-        if k:
-            source = order[k - 1]
-        p = source - 1
+    for k in range(-1, n):
+        p = (order[k] if k >= 0 else n) - 1
         while p >= 0 and not placed[p]:
             g = group[p]
             order[start[g]] = p
@@ -139,9 +147,10 @@ def suffix_order(text: list[int]) -> list[int]:
 
 # ------------------------------------------------------------------ anchors
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start of the first string, number of strings, anchor hash, text) of every anchor of the texts."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start of the first string, number of strings, anchor hash, text, place after the start) of every anchor."""
     found = []
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     for a in range(0, max(len(data) - WIDTH + 1, 0), _PIECE):
         piece = data[a : a + _PIECE + WIDTH - 1]
         n = len(piece) - WIDTH + 1
@@ -149,7 +158,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         x = x[:-1] | (x[1:] << _U(8))
         x = x[:-2] | (x[2:] << _U(16))
         x = x[:-4] | (x[4:] << _U(32))
-        gram = mix(x[:-8] * _U(0x9E3779B97F4A7C15) + mix(x[8:] ^ _U(0xD6E8FEB86659FD93)))
+        gram = mix(x[: -GRAM + 8])
+        for i in range(8, GRAM, 8):
+            gram = mix(gram * _U(0x9E3779B97F4A7C15) + x[i : len(x) - GRAM + 8 + i])
         m = len(gram)
         key = (gram & ~_U(_PLACE)) | (_U(_PLACE) - np.arange(m, dtype=_U))
         pad = -m % WINDOW
@@ -158,16 +169,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
         least = np.minimum(back[:n], ahead[WINDOW - 1 : WINDOW - 1 + n])
         place = _PLACE - (least & _U(_PLACE)).astype(np.int64)
-        text = np.searchsorted(offsets, np.arange(a, a + n), "right") - 1 if len(offsets) > 2 else np.zeros(n, np.int64)
+        text = owner[a : a + n]
         whole = np.arange(a, a + n) + WIDTH <= offsets[text + 1]
         new = whole.copy()
         new[1:] &= (place[1:] != place[:-1]) | ~whole[:-1]
         first = np.flatnonzero(new)
         running = np.concatenate([[0], np.cumsum(whole)])
         many = running[np.append(first[1:], n)] - running[first]
-        found.append((first + a, many, gram[place[first]], text[first]))
+        found.append((first + a, many, gram[place[first]], text[first], place[first] - first))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, _U), none, none
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -195,19 +207,19 @@ class Block:
         head = len(rows).to_bytes(8, "little") + ids.tobytes() + named.tobytes() + offsets.tobytes()
         return zstandard.ZstdCompressor(level=3).compress(head + b"".join(t for _, t in rows))
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def anchors(self) -> tuple[np.ndarray, ...]:
         """Anchors of the texts, taken in steps that fit the kernels' memory."""
         out, first = [], 0
         n = len(self.ids)
         while first < n:
             last = max(first + 1, int(np.searchsorted(self.offsets, self.offsets[first] + _PIECE, "right")) - 1)
             a = self.offsets[first]
-            s, m, g, t = anchors(self.data[a : self.offsets[last]], self.offsets[first : last + 1] - a)
-            out.append((s + a, m, g, t + first))
+            s, m, g, t, o = anchors(self.data[a : self.offsets[last]], self.offsets[first : last + 1] - a)
+            out.append((s + a, m, g, t + first, o))
             first = last
-        s, m, g, t = (np.concatenate(x) for x in zip(*out, strict=True)) if out else anchors(np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        keep = self.named[t] if len(t) else np.zeros(0, bool)
-        return s[keep], m[keep], g[keep], t[keep]
+        out = tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else anchors(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        keep = self.named[out[3]] if len(out[3]) else np.zeros(0, bool)
+        return tuple(x[keep] for x in out)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +289,7 @@ def _first_requests(buckets: int):
         for batch in batches:
             for name, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 block = Block(payload)
-                _, _, gram, text = block.anchors()
+                _, _, gram, text, _ = block.anchors()
                 # gaps of sorted hashes are small numbers
                 yield _message([
                     (name, b, _squeeze(np.diff(short, prepend=_U(0)).astype(np.uint32 if np.diff(short, prepend=_U(0)).max() < 2**32 else _U), several))
@@ -308,7 +320,7 @@ def _second_requests(buckets: int):
         for batch in batches:
             for name, payload, answers in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 block = Block(payload)
-                start, many, gram, text = block.anchors()
+                start, many, gram, text, inside = block.anchors()
                 told = {a["bucket"]: a["blob"] for a in answers or []}
                 fate = np.zeros(len(gram), np.uint8)
                 of = (gram % _U(buckets)).astype(np.int64)
@@ -325,8 +337,9 @@ def _second_requests(buckets: int):
                     start = np.concatenate([start[keep], single])
                     gram, text = np.concatenate([gram[keep], key]), np.concatenate([text[keep], np.repeat(text[hot], many[hot])])
                     many = np.concatenate([many[keep], np.ones(len(single), np.int64)])
+                    inside = np.concatenate([inside[keep], np.zeros(len(single), np.int64)])
                 else:
-                    start, many, gram, text = start[keep], many[keep], gram[keep], text[keep]
+                    start, many, gram, text, inside = start[keep], many[keep], gram[keep], text[keep], inside[keep]
                 # each context once, with its smallest document
                 content = run_hashes(block.data, start, start + many + WIDTH - 1)
                 doc = block.ids[text]
@@ -338,11 +351,12 @@ def _second_requests(buckets: int):
                 heads = order[new]
                 of = (gram[heads] % _U(buckets)).astype(np.int64)
                 cuts = np.searchsorted(of, np.arange(buckets + 1))
-                rows = [(name, -1, _squeeze(start, many.astype(np.uint8), text.astype(np.int32), entry.astype(np.int32), np.diff(cuts)))]
+                # what the block must remember goes along, as a message that no bucket answers
+                rows = [(name, -1 - int(hashlib.sha256(name.encode()).hexdigest()[:8], 16) % buckets, _squeeze(start, many.astype(np.uint8), text.astype(np.int32), entry.astype(np.int32), np.diff(cuts)))]
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
                     h = heads[cuts[b] : cuts[b + 1]]
                     size = many[h] + WIDTH - 1
-                    rows.append((name, b, _squeeze(gram[h], doc[h], size.astype(np.uint8), block.data[_stretches(start[h], size)])))
+                    rows.append((name, b, _squeeze(gram[h], doc[h], size.astype(np.uint8), inside[h].astype(np.uint8), block.data[_stretches(start[h], size)])))
                 yield _message(rows)
     return ask
 
@@ -371,12 +385,25 @@ def _older(data: np.ndarray, at: np.ndarray, size: np.ndarray, least: np.ndarray
     return out
 
 
+def _related(data: np.ndarray, at: np.ndarray, size: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Contexts that agree with another one on the half of a string before the gram, or on the half
+    after it.  Two contexts that share a string agree on one of them; the others have none to sort."""
+    half, out = (WIDTH - GRAM) // 2, np.zeros(len(at), bool)
+    for begin, end in ((inside - half, inside + GRAM), (inside, inside + GRAM + half)):
+        whole = np.flatnonzero((begin >= 0) & (end <= size))
+        _, inverse, times = np.unique(run_hashes(data, at[whole] + begin[whole], at[whole] + end[whole]), return_inverse=True, return_counts=True)
+        out[whole[times[inverse] > 1]] = True
+    return out
+
+
 def _second_answers(table: pa.Table) -> pa.Table:
     """Per context of each block: its smallest document, and the strings that an even smaller one has."""
-    asked = [_unsqueeze(blob, _U, np.int64, np.uint8, np.uint8) for blob in table.column("blob").to_pylist()]
+    if table.column("bucket")[0].as_py() < 0:
+        return table
+    asked = [_unsqueeze(blob, _U, np.int64, np.uint8, np.uint8, np.uint8) for blob in table.column("blob").to_pylist()]
     counts = [len(g) for g, *_ in asked]
-    gram, doc, size, data = (np.concatenate([a[i] for a in asked]) for i in range(4))
-    size = size.astype(np.int64)
+    gram, doc, size, inside, data = (np.concatenate([a[i] for a in asked]) for i in range(5))
+    size, inside = size.astype(np.int64), inside.astype(np.int64)
     at = np.cumsum(size) - size
     content = run_hashes(data, at, at + size)
     order = np.lexsort((content, gram))
@@ -392,9 +419,11 @@ def _second_answers(table: pa.Table) -> pa.Table:
     mixed = np.repeat(np.diff(first, append=len(context)) > 1, np.diff(first, append=len(context)))
     older = np.zeros(len(context), _U)
     todo = np.flatnonzero(mixed)
+    todo = todo[_related(data, at[context[todo]], size[context[todo]], inside[context[todo]])]
     fill = np.cumsum(size[context[todo]])
     breaks = [0]
-    for k in np.flatnonzero(anchor[todo]).tolist():  # whole anchors, up to a size
+    anchor = np.append(True, gram[context[todo]][1:] != gram[context[todo]][:-1]) if len(todo) else anchor[:0]
+    for k in np.flatnonzero(anchor).tolist():  # whole anchors, up to a size
         if fill[k - 1] - (fill[breaks[-1] - 1] if breaks[-1] else 0) > SORTED_BYTES and k:
             breaks.append(k)
     for a, b in zip(breaks, [*breaks[1:], len(todo)], strict=True):
@@ -412,8 +441,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = Block(payload)
             change = np.zeros(len(block.data) + 1, np.int64)
             told = {a["bucket"]: a["blob"] for a in answers or []}
-            if -1 in told:
-                start, many, text, entry, _ = _unsqueeze(told[-1], np.int64, np.uint8, np.int32, np.int32, np.int64)
+            own = next((b for b in told if b < 0), None)
+            if own is not None:
+                start, many, text, entry, _ = _unsqueeze(told[own], np.int64, np.uint8, np.int32, np.int32, np.int64)
                 got = [_unsqueeze(told[b], np.int64, _U) for b in sorted(b for b in told if b >= 0)]
                 if got:
                     least, older = (np.concatenate([g[i] for g in got])[entry] for i in range(2))
@@ -446,11 +476,11 @@ def repeats(docs: DataFrame) -> DataFrame:
         packed.select("name", "payload").mapInArrow(_first_requests(buckets), _MESSAGE)
         .groupBy("bucket").applyInArrow(_first_answers, _MESSAGE)
     )
-    asked = cut(
+    answers = cut(
         packed.select("name", "payload").join(shared.groupBy("name").agg(F.collect_list(F.struct("bucket", "blob")).alias("told")), "name", "left")
         .select("name", "payload", "told").mapInArrow(_second_requests(buckets), _MESSAGE)
+        .groupBy("bucket").applyInArrow(_second_answers, _MESSAGE)
     )
-    answers = cut(asked.where("bucket >= 0").groupBy("bucket").applyInArrow(_second_answers, _MESSAGE)).unionByName(asked.where("bucket < 0"))
     return (
         packed.select("name", "payload").join(answers.groupBy("name").agg(F.collect_list(F.struct("bucket", "blob")).alias("told")), "name", "left")
         .select("payload", "told").mapInArrow(_removed, RESULT)
