@@ -123,7 +123,8 @@ def _judged(docs: DataFrame, least: int) -> DataFrame:
         places.join(fate, ["h1", "h2"]).where(F.col("near").isNotNull() | (F.struct("doc_id", "pos") != F.col("first")))
         .groupBy("doc_id").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc_id", "__id")
     )
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left")
+    # one row per document with a repeated line: no size bounds it, so it is never broadcast
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["__id"], "left")
 
 
 def _kept() -> Column:
