@@ -15,11 +15,13 @@ latest component are done, so long documents need about one point per shingle.
 
 Search: copies (equal multisets) first collapse into one representative.  Signatures are cut
 into ``BANDS`` bands of ``ROWS``; representatives with an equal band share a bucket.  At
-similarity 0.8 a pair has no common band with a chance of 5e-8.  No bucket is expanded into
-all pairs: in round r about 4^r of its members, spread by hash, are compared with those
-members that are not in their class yet.  A bucket is done when it has one class or all its
-members were compared, so buckets of near copies end after the first round, and no pair of
-different classes stays uncompared.
+similarity 0.8 a pair has no common band with a chance of 6e-5.  No bucket is expanded into
+all pairs.  First its most connected member (the one whose buckets are largest: the text that
+near copies were made from shares a bucket with all of them) and its smallest one are compared
+with the others; in a later round r about 16^r members, spread by hash, with those that are
+not in their class yet.  A bucket is done when it has one class or all its members were
+compared, so buckets of near copies end after the first round, and no pair of different
+classes stays uncompared.
 
 Words are runs other than ASCII white space.  Cases: documents without words have a class
 each; a null doc_id is not looked at; rows with equal doc_id are one document; other columns
@@ -38,7 +40,7 @@ from vigilkb.llm.common import blocks, mix, per_text, run_hashes, runs, small_ba
 from vigilkb.session import cut
 
 SHINGLE_WORDS, LEAST = 5, 0.8
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 32, 6
 SIGNATURE = BANDS * ROWS
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -180,13 +182,19 @@ def classes(docs: DataFrame) -> DataFrame:
     each = reps.select("rep", "n", F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("members")).where("lo < hi")
     on = cut(each.join(shared.select("band", "members"), "band").select("band", "rep", "n", "members"))
+    # the first hubs of a bucket: its most connected member, and its smallest
+    degree = on.groupBy("rep").agg(F.sum("members").alias("degree"))
+    first = on.join(degree, "rep").groupBy("band").agg(F.max(F.struct("degree", "rep")).alias("top"), F.min("rep").alias("low"))
+    on = on.join(first, "band").withColumn("hub", F.col("rep").isin(F.col("top.rep"), F.col("low"))).drop("top", "low")
     near = on.select(F.col("rep").alias("doc_id")).distinct()
     bags = cut(docs.join(near, "doc_id").mapInArrow(_bags, "rep long, bag binary"))
-    links, rounds, compared = None, 0, None
+    links, named, rounds, compared = None, None, 0, None
     on = on.withColumn("class", F.col("rep"))
     while not on.isEmpty():
-        step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("members") / F.lit(4**rounds)).cast("long"))
-        on = cut(on.withColumn("hub", F.pmod(F.xxhash64("rep", F.lit(rounds)), step) == 0))
+        if rounds:
+            step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("members") / F.lit(16**rounds)).cast("long"))
+            on = on.withColumn("hub", F.pmod(F.xxhash64("rep", F.lit(rounds)), step) == 0)
+        on = cut(on)
         hubs = on.where("hub").select("band", F.col("rep").alias("h"), F.col("n").alias("hn"), F.col("class").alias("hc"))
         pairs = (
             on.join(hubs, "band").where((F.col("class") != F.col("hc")) & (F.least("n", "hn") >= F.lit(LEAST) * F.greatest("n", "hn") - 1e-9))
@@ -201,18 +209,20 @@ def classes(docs: DataFrame) -> DataFrame:
             .join(bags.select(F.col("rep").alias("b"), F.col("bag").alias("bbag")), "b")
             .select("a", "b", "abag", "bbag").mapInArrow(_verified, "a long, b long")
         )
-        links = found if links is None else cut(links.unionByName(found))
-        named = components(links)
         # members that were compared with all others of their bucket are done; so are buckets of one class
-        on = on.where(~F.col("hub")).drop("class").join(named, "rep", "left").withColumn("class", F.coalesce("class", "rep")).drop("hub")
+        on = on.where(~F.col("hub")).drop("hub")
+        if not found.isEmpty():
+            links = found if links is None else cut(links.unionByName(found))
+            named = components(links)
+            on = on.drop("class").join(named, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
         mixed = on.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
         on = cut(on.join(mixed.select("band"), "band", "left_semi"))
         rounds += 1
     # a copy's class is its representative's; the classes' names are their smallest members
     of = sketches.join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.col("n").alias("n_shingles"))
-    if links is None:
+    if named is None:
         return of.select("doc_id", F.col("rep").alias("class_id"), "n_shingles")
-    return of.join(components(links), "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"), "n_shingles")
+    return of.join(named, "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"), "n_shingles")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
