@@ -25,6 +25,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -35,12 +36,29 @@ from vigilkb.session import cut
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 2_000_000
+
+#: ASCII punctuation but the apostrophe, which can begin a contraction.
+_AFTER = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _loaded: dict[str, tuple] = {}
 
 
+def _learn(words: set[bytes], memo: dict[bytes, bytes], tokenizer) -> None:
+    """Remember the ids of new words.  Punctuation after a letter or digit is always a token run of its own."""
+    split = {}
+    for w in words:
+        core = w.rstrip(_AFTER)
+        if len(core) < len(w) and core[-1:].isalnum() and b"<|" not in w:
+            split[w] = (core, w[len(core) :])
+    new = [w for w in {part for pair in split.values() for part in pair} | (words - split.keys()) if w not in memo]
+    for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+        memo[w] = np.array(e.ids, "<u4").tobytes()
+    for w, (core, tail) in split.items():
+        memo[w] = memo[core] + memo[tail]
+
+
 def ids_of(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers."""
     if path not in _loaded:
@@ -49,16 +67,21 @@ def ids_of(texts: list[str], path: str) -> Iterator[bytes]:
 
         _loaded[path] = (Tokenizer.from_file(path), {})
     tokenizer, memo = _loaded[path]
+    end = END_ID.to_bytes(4, "little")
     for text in texts:
-        words = (text or "").encode("utf-8", "replace").split()
-        new = [w for w in set(words) if w not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO_WORDS:
+        raw = (text or "").encode("utf-8", "replace")
+        # the vocabulary folds case, but for the special strings
+        words = (raw if b"<|" in raw else raw.lower()).split()
+        ids = list(map(memo.get, words))
+        if None in ids:
+            new = {w for w, i in zip(words, ids, strict=True) if i is None}
+            if len(memo) + 2 * len(new) > MEMO_WORDS:
                 memo.clear()
-                new = list(set(words))
-            for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                memo[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        yield b"".join([memo[w] for w in words]) + END_ID.to_bytes(4, "little")
+                new = set(words)
+            _learn(new, memo, tokenizer)
+            ids = [memo[w] for w in words]
+        ids.append(end)
+        yield b"".join(ids)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
