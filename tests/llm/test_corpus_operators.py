@@ -170,6 +170,17 @@ def test_bag_minhash_is_unbiased():
         neardup.SHINGLE_WORDS = old
 
 
+def test_bands_do_not_depend_on_the_block():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(n)) for n in (1, 34, 64, 124, 254) * 20]
+
+    def bands(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+        return [keys for b in neardup._sketch([batch]) for keys in b.column(4).to_pylist()]
+
+    assert bands(texts) == [keys for t in texts for keys in bands([t])]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(300, 301), (301, 302), (300, 302)]
     got = {r.rep: r["class"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}

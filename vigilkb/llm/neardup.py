@@ -89,7 +89,8 @@ def signatures(h: np.ndarray, where: np.ndarray) -> np.ndarray:
         nth = (drawn + np.arange(points)).astype(_U)
         r = mix(seed[:, None] + nth[None, :] * _U(0xA0761D6478BD642F))
         gap = -np.log(((r >> _U(11)).astype(np.float64) + 0.5) / 2.0**53) / (SIGNATURE * width)[:, None]
-        at = time[:, None] + np.cumsum(gap, axis=1)
+        gap[:, 0] += time  # added strictly one after the other: a point's time has the same bits in every block
+        at = np.cumsum(gap, axis=1)
         r = mix(r ^ _U(0xE7037ED1A0B428DB))
         component = (r % _U(SIGNATURE)).astype(np.int64)
         level = low[:, None] + 1 + ((r >> _U(32)).astype(np.float64) / 2.0**32 * width[:, None]).astype(np.int64)
