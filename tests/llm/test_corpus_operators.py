@@ -181,6 +181,31 @@ def test_bands_do_not_depend_on_the_block():
     assert bands(texts) == [keys for t in texts for keys in bands([t])]
 
 
+def test_bands_miss_few_links():
+    assert (1 - neardup.LEAST**neardup.ROWS) ** neardup.BANDS < 1e-7
+
+
+def test_no_link_is_excluded_before_the_comparison(spark):
+    rng = random.Random(9)
+    pairs = []
+    for n in [1, 2, 9, 18, 90, 400, 3000] * 12:
+        a = [rng.randrange(n) for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, n // 8))):
+            b[rng.randrange(n)] = n + rng.randrange(n)
+        pairs.append((a, b + [0] * rng.choice([0, 0, n // 9])))
+    rows, truth = [], []
+    for a, b in pairs:
+        x, y = (neardup.mix(np.array(v, np.uint64)) for v in (a, b))
+        both = neardup.overlap(x, y)
+        truth.append(both >= 0.8 * (len(a) + len(b) - both) - 1e-9)
+        p, q = (neardup.parities(v, np.array([0, len(v)]))[0].tolist() for v in (x, y))
+        rows.append((len(rows), len(a), p, len(b), q))
+    df = spark.createDataFrame(rows, "i long, n long, odd array<long>, hn long, hodd array<long>")
+    may = {r.i for r in df.where(neardup.may_link("n", "odd", "hn", "hodd")).collect()}
+    assert {i for i, t in enumerate(truth) if t} <= may and len(may) < len(pairs)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(300, 301), (301, 302), (300, 302)]
     got = {r.rep: r["class"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -15,7 +15,7 @@ latest component are done, so long documents need about one point per shingle.
 
 Search: copies (equal multisets) first collapse into one representative.  Signatures are cut
 into ``BANDS`` bands of ``ROWS``; representatives with an equal band share a bucket.  At
-similarity 0.8 a pair has no common band with a chance of 6e-5.  No bucket is expanded into
+similarity 0.8 a pair has no common band with a chance of 5e-8.  No bucket is expanded into
 all pairs.  First its most connected member (the one whose buckets are largest: the text that
 near copies were made from shares a bucket with all of them) and its smallest one are compared
 with the others; in a later round r about 16^r members, spread by hash, with those that are
@@ -23,6 +23,11 @@ not in their class yet.  A bucket is done when it has one class or all its membe
 compared, so buckets of near copies end after the first round, and no pair of different
 classes stays uncompared.
 
+Exact test before a comparison: the shingles are dealt into ``CELLS`` cells, and of each cell
+the parity of its count is kept.  A shingle that only one of two documents has changes one
+parity, so the number of cells with unequal parities is at most the size of the symmetric
+difference, and a pair where it is more than a link allows is none.
+
 Words are runs other than ASCII white space.  Cases: documents without words have a class
 each; a null doc_id is not looked at; rows with equal doc_id are one document; other columns
 are not read.
@@ -30,18 +35,21 @@ are not read.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilkb.llm.common import blocks, mix, per_text, run_hashes, runs, small_batches
 from vigilkb.session import cut
 
 SHINGLE_WORDS, LEAST = 5, 0.8
-BANDS, ROWS = 32, 6
+BANDS, ROWS = 32, 4
 SIGNATURE = BANDS * ROWS
+CELLS = 512
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _U = np.uint64
@@ -103,6 +111,21 @@ def signatures(h: np.ndarray, where: np.ndarray) -> np.ndarray:
     return sig
 
 
+def parities(h: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """For each text the parities of its cells, as bits of ``CELLS / 64`` integers."""
+    n = len(where) - 1
+    cell = np.repeat(np.arange(n), np.diff(where)) * CELLS + (h % _U(CELLS)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * CELLS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, CELLS // 64)
+
+
+def may_link(n: str, odd: str, hn: str, hodd: str) -> Column:
+    """Whether sizes and parities allow a link: at similarity s, the symmetric difference is (1 - s) / (1 + s) of both sizes."""
+    apart = reduce(operator.add, (F.bit_count(F.get(odd, F.lit(i)).bitwiseXOR(F.get(hodd, F.lit(i)))) for i in range(CELLS // 64)))
+    sizes = F.least(n, hn) >= F.lit(LEAST) * F.greatest(n, hn) - 1e-9
+    return sizes & (apart * (1 + LEAST) <= (F.col(n) + F.col(hn)) * (1 - LEAST) + 1e-6)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, h, where in shingles(batch.column(1)):
@@ -113,6 +136,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
                 keys = mix(keys + bits[:, :, r])
             empty = sizes == 0
+            odd = parities(h, where)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(sizes) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64))
             )
@@ -120,8 +144,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     batch.column(0).slice(first, last - first), pa.array(sizes.astype(np.int64)),
                     pa.array(digest[0].view(np.int64), mask=empty), pa.array(digest[1].view(np.int64), mask=empty), lists,
+                    pa.FixedSizeListArray.from_arrays(pa.array(odd.reshape(-1)), CELLS // 64).cast(pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n", "d1", "d2", "bands"],
+                ["doc_id", "n", "d1", "d2", "bands", "odd"],
             )
 
 
@@ -177,8 +202,8 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    sketches = cut(docs.mapInArrow(_sketch, "doc_id long, n long, d1 long, d2 long, bands array<long>"))
-    reps = sketches.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bands").alias("bands"))
+    sketches = cut(docs.mapInArrow(_sketch, "doc_id long, n long, d1 long, d2 long, bands array<long>, odd array<long>"))
+    reps = sketches.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("odd").alias("odd"))
     reps = cut(reps)
     each = reps.select("rep", "n", F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("members")).where("lo < hi")
@@ -188,6 +213,7 @@ def classes(docs: DataFrame) -> DataFrame:
     first = on.join(degree, "rep").groupBy("band").agg(F.max(F.struct("degree", "rep")).alias("top"), F.min("rep").alias("low"))
     on = on.join(first, "band").withColumn("hub", F.col("rep").isin(F.col("top.rep"), F.col("low"))).drop("top", "low")
     near = on.select(F.col("rep").alias("doc_id")).distinct()
+    odds = cut(reps.select("rep", "odd").join(near, F.col("rep") == F.col("doc_id"), "left_semi"))
     bags = cut(docs.join(near, "doc_id").mapInArrow(_bags, "rep long, bag binary"))
     links, named, rounds, compared = None, None, 0, None
     on = on.withColumn("class", F.col("rep"))
@@ -196,9 +222,10 @@ def classes(docs: DataFrame) -> DataFrame:
             step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("members") / F.lit(16**rounds)).cast("long"))
             on = on.withColumn("hub", F.pmod(F.xxhash64("rep", F.lit(rounds)), step) == 0)
         on = cut(on)
-        hubs = on.where("hub").select("band", F.col("rep").alias("h"), F.col("n").alias("hn"), F.col("class").alias("hc"))
+        known = on.join(odds, "rep")
+        hubs = known.where("hub").select("band", F.col("rep").alias("h"), F.col("n").alias("hn"), F.col("class").alias("hc"), F.col("odd").alias("hodd"))
         pairs = (
-            on.join(hubs, "band").where((F.col("class") != F.col("hc")) & (F.least("n", "hn") >= F.lit(LEAST) * F.greatest("n", "hn") - 1e-9))
+            known.join(hubs, "band").where((F.col("class") != F.col("hc")) & may_link("n", "odd", "hn", "hodd"))
             .select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b")).distinct()
         )
         if compared is not None:
