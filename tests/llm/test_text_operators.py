@@ -6,6 +6,7 @@ import zlib
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import ODD
 from pyspark.sql import functions as F
@@ -134,6 +135,18 @@ def test_decontamination_in_blocks(spark, sf_dir, monkeypatch):
     assert sorted(rows(queries.op6_decontamination(spark, sf_dir))) == want
 
 
+def test_decontamination_finds_items_of_few_shingles():
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(10**9)}"
+    items = [" ".join(word() for _ in range(n)) for n in (5, 6, 7, 8) for _ in range(150)]
+    for _ in range(100):
+        a, b, c = word(), word(), word()
+        items.append(" ".join([a] * 50 + [b] + [a] * 50 + [c]))
+    texts = [" ".join([*(word() for _ in range(60)), item, *(word() for _ in range(60))]) for item in items]
+    index = decontamination.Index(list(enumerate(items)))
+    assert {(t, i) for t, i, shared, n in index.search(pa.array(texts, pa.large_string())) if shared == n} == {(i, i) for i in range(len(items))}
+
+
 # ------------------------------------------------------------------ packing
 
 def check_packing(got, texts, capacity=2048):

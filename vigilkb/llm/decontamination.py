@@ -6,8 +6,11 @@ shingles are cut into blocks of a class's size; two neighbouring blocks make a w
 contained item lies inside one window and is a known share of it at least.  With ``HASHES``
 single-row bands an item of containment 0.8 is missed with a chance below 1e-5.  Block
 minima of a class are minima of two blocks of the class below, so all classes together cost
-little more than the smallest.  Every candidate is verified by exact shingle containment in
-the whole document.
+little more than the smallest.  Items of up to ``FEW`` different shingles, and those that
+repeat shingles so often that they would fill less of a window, are not left to chance: a
+document that contains one has one of any ``n_item - least + 1`` of its shingles, where
+``least`` is the number it must share, and these are looked up exactly.  Every candidate is
+verified by exact shingle containment in the whole document.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters; ASCII letters are
 folded.  A shingle is five words; an item of fewer words is one shingle of all its words.
@@ -35,6 +38,7 @@ SHINGLE_WORDS = 5
 LEAST_CONTAINED = 0.8
 HASHES = 64
 SMALLEST = 8
+FEW = 4
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 32 << 20
 
 FOUND = "doc_id long, item_id long, n_shared long, n_item long, containment double"
@@ -72,6 +76,8 @@ class Index:
         self.sets: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(items)
         self.short: dict[int, dict[int, list[int]]] = {}
         classes: dict[int, list[int]] = {}
+        few: list[tuple[int, int]] = []
+        size_class = lambda n: max(0, int(np.ceil(np.log2(n / SMALLEST))))
         for first, hashes, at in words_of(pa.array([t for _, t in items], pa.large_string())):
             for i in range(len(at) - 1):
                 own = hashes[at[i] : at[i + 1]]
@@ -81,8 +87,15 @@ class Index:
                     self.short.setdefault(len(own), {}).setdefault(int(key[0]), []).append(first + i)
                 elif len(own):
                     got, _ = shingles(own, np.array([0, len(own)]), SHINGLE_WORDS)
-                    self.sets[first + i] = np.unique(got)
-                    classes.setdefault(max(0, int(np.ceil(np.log2(len(got) / SMALLEST)))), []).append(first + i)
+                    self.sets[first + i] = own_set = np.unique(got)
+                    n = len(own_set)
+                    if n <= FEW or size_class(n) < size_class(len(got)):
+                        least = next(k for k in range(n + 1) if k >= LEAST_CONTAINED * n)
+                        few += [(int(key), first + i) for key in own_set[: n - least + 1]]
+                    else:
+                        classes.setdefault(size_class(n), []).append(first + i)
+        few.sort()
+        self.few = np.array([key for key, _ in few], np.uint64), np.array([item for _, item in few], np.int64)
         self.classes = {c: self._minima(members) for c, members in sorted(classes.items())}
 
     def _minima(self, members: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -97,9 +110,17 @@ class Index:
         return out
 
     def candidates(self, got: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) pairs that share a minimum in some window."""
+        """(text, item) pairs that share a minimum in some window, or a shingle that is looked up."""
         pairs: set[tuple[int, int]] = set()
-        if not self.classes or not len(got):
+        if not len(got):
+            return pairs
+        keys, items = self.few
+        if len(keys):
+            left, right = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
+            hit = np.flatnonzero(right > left)
+            for k, text in zip(hit, np.searchsorted(at, hit, "right") - 1, strict=True):
+                pairs.update((int(text), int(i)) for i in items[left[k] : right[k]])
+        if not self.classes:
             return pairs
         short = (got >> np.uint64(32)).astype(np.uint32)
         many = -(-np.diff(at) // SMALLEST)  # blocks of each text
