@@ -252,6 +252,19 @@ def test_surrogates(spark):
     assert again == got and other[1] != got[1]
 
 
+def test_given_names_are_replaced_alone(spark):
+    docs = [
+        (1, "Mrs Anna Kern came. Anna said that Kern and Annabel know Anna."), (2, "Anna is not addressed here."),
+        (3, "Mr Paul Anna-Kern and Mrs Anna Paul: Paul, Anna, Anna-Kern."),
+    ]
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(docs, "doc_id long, text string"), KEY).collect()}
+    given, family = re.match(r"Mrs (\w+) (\w+) came", got[1]).groups()
+    assert got[1] == f"Mrs {given} {family} came. {given} said that {family} and Annabel know {given}." and "Anna" not in (given, family)
+    assert got[2] == docs[1][1]
+    paul, double, anna, second = re.match(r"Mr (\w+) (\w+) and Mrs (\w+) (\w+):", got[3]).groups()
+    assert anna == given and got[3].endswith(f": {second}, {anna}, {double}.")
+
+
 def test_surrogates_stay_distinct(spark):
     names = [(i, f"family_n_latin", f"name{i}") for i in range(3000)]
     numbers = [(i, "ip", f"{i % 250}.{i // 250}.1.1") for i in range(3000)]

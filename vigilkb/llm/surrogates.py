@@ -10,11 +10,12 @@ surrogate is drawn from SHA-256 of the key, the kind, the value and an attempt:
 * addresses of one domain share a surrogate domain, and keep the last label;
 * names are built from syllables of their script (Latin, Greek, Cyrillic); given names get an
   ending of the gender that the form of address tells.  A family name keeps its surrogate with
-  and without the given name, and also where a document repeats it alone.
+  and without the given name, and both are also replaced where a document repeats them alone
+  (the longest first; a word that is both is taken for the family name).
 
 Equal entities get equal surrogates in the whole corpus.  Collision checks: entities whose
-surrogate another entity of the kind has too, or which is itself an entity of the corpus,
-draw again with the next attempt (of several, the smallest value keeps it) until all differ.
+surrogate another entity of the kind has too, or which is itself an entity of the corpus
+(for names: a name of any kind), draw again with the next attempt (of several, the smallest value keeps it) until all differ.
 
 Only documents with entities are joined to their replacements.  Cases: null and empty texts
 stay; repeated rows and ids are rewritten each; other columns are kept, but for
@@ -161,8 +162,9 @@ def _taken(drawn: DataFrame) -> DataFrame:
     shared = drawn.groupBy("kind", "drawn").agg(F.min("value").alias("keeps"), F.count("*").alias("n")).where("n > 1")
     doubles = drawn.join(shared, ["kind", "drawn"]).where("value != keeps").select("kind", "value")
     # names are compared case folded, like the entities they must not repeat
-    real = drawn.select(F.col("kind"), F.col("value").alias("folded"))
-    repeats = drawn.withColumn("folded", F.when(F.col("kind").contains("_"), F.lower("drawn")).otherwise(F.col("drawn"))).join(real, ["kind", "folded"]).select("kind", "value")
+    sort = F.when(F.col("kind").contains("_"), "name").otherwise(F.col("kind")).alias("sort")
+    real = drawn.select(sort, F.col("value").alias("folded")).distinct()
+    repeats = drawn.withColumn("folded", F.when(F.col("kind").contains("_"), F.lower("drawn")).otherwise(F.col("drawn"))).withColumn("sort", sort).join(real, ["sort", "folded"]).select("kind", "value")
     return doubles.union(repeats).distinct()
 
 
@@ -200,18 +202,18 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     said = F.transform(F.array_sort(F.collect_list(F.struct("part", "lead", "new"))), lambda p: F.concat(p["lead"], p["new"]))
     whole = (
         shown.groupBy("__k1", "__k2", "at")
-        .agg(F.array_join(said, "").alias("new"), F.collect_list(F.when(F.col("kind").startswith("family"), F.struct("shown", "new"))).alias("family"))
+        .agg(F.array_join(said, "").alias("new"), F.collect_list(F.when(F.col("kind").contains("_"), F.struct(-F.length("shown"), F.col("kind").startswith("given"), "kind", "shown", "new"))).alias("names"))
         .groupBy("__k1", "__k2")
         .agg(
             F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("__new"),
-            F.array_distinct(F.flatten(F.collect_list("family"))).alias("__family"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("__names"),
         )
     )
     between = F.split("text", ENTITY, -1)
     text = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get("__new", i), F.lit("")))), "")
     edge = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
     alone = F.aggregate(
-        "__family", text,
+        "__names", text,
         lambda t, f: F.regexp_replace(t, F.concat(F.lit(edge[0] + r"\Q"), f["shown"], F.lit(r"\E" + edge[1])), f["new"]),
     )
     changed = (
