@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import importlib.util
 import os
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from vigilkb.llm import chat, decontamination, lines, neardup, packing, quality, secrets, suffixes, surrogates, toxicity
+from vigilkb.llm import (
+    chat, decontamination, grid_codes, lines, neardup, packing, periodicity, quality, secrets, suffixes, surrogates, token_counts, toxicity,
+)
 from vigilkb.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +83,31 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.conversations(threads(rows.unionByName(probe))))
 
 
+def planted_places(doc_id: int, n: int) -> np.ndarray | None:
+    """One document in ten, by its id's checksum, repeats a stretch of its words from some place to its end."""
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % p
+    return places
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodicity.digests(periodicity.periodic_runs(table(spark, sf_dir, "documents"), planted_places))
+
+
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_codes.with_label_errors(grid_codes.codes(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -90,9 +119,13 @@ QUERIES: dict[str, Query] = {
     "op8_surrogates": op8_surrogates,
     "op9_neardup": op9_neardup,
     "op10_chat": op10_chat,
+    "op11_runs": op11_runs,
+    "op12_tokens": op12_tokens,
+    "op13_codes": op13_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op4_lines": lines.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
+    "op13_codes": grid_codes.ORACLE,
 }
