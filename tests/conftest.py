@@ -1,5 +1,3 @@
-import json
-
 import pytest
 
 from vigilkb.session import local_session
@@ -43,14 +41,3 @@ def story():
 @pytest.fixture(scope="session")
 def story_df(spark, story):
     return spark.createDataFrame(story, EVENT_SCHEMA)
-
-
-def as_json_lines(rows):
-    out = []
-    for r in rows:
-        out.append(json.dumps({
-            "seq": r[0], "type": r[1],
-            "payload": {"doc_id": r[2], "text": r[3], "source_id": r[4], "title": r[5], "is_artifact": r[6], "derived_from": r[7]},
-            "_debug": {"expected_label": r[8], "implicates": r[9], "intent": r[10]},
-        }))
-    return out

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import as_json_lines
+from records import as_json_lines
 from vigilkb.functions import text as tx
 from vigilkb.functions.lexicon import lexicon_mentions
 from vigilkb.operators import evaluation as ev
