@@ -14,7 +14,8 @@ from vigilkb.operators import reordering as ro
 from vigilkb.operators.facets import facet_weights, metadata_candidates
 from vigilkb.operators.knn import knn_join
 from vigilkb.operators.ordering import FOREVER, as_of_last, first_k_live, number_rows, running, stab
-from vigilkb.operators.pagerank import personalised_pagerank
+from vigilkb.operators import pagerank
+from vigilkb.operators.pagerank import power_iterate, ranked_walks
 from vigilkb.session import cut
 
 LIVES = "id long, valid_from long, valid_to long"
@@ -139,24 +140,115 @@ def test_metadata_candidates(spark, knobs):
         assert np.allclose([s for _, s in got.get(i, [])], [-s for s, _ in scored[:5]], atol=2e-6)
 
 
-@pytest.mark.parametrize("directed", [False, True])
-def test_pagerank_paths_agree(spark, directed):
+def walk_graph(rng, n, hub_share=0.0):
+    """Random stamped nodes and edges; with ``hub_share`` most chunks also hang on one hub."""
+    nodes = [(f"chunk:{i}", "chunk", str(i), i, None if i % 4 else i + 9, i) for i in range(n)]
+    edges = {}
+    for a, b in rng.integers(0, n, (3 * n, 2)):
+        if a != b:
+            edges[int(a), int(b)] = float(rng.random() + 0.1)
+    rows = [(f"chunk:{a}", f"chunk:{b}", "contains", w, max(a, b), None if a % 3 else max(a, b) + 6) for (a, b), w in sorted(edges.items())]
+    if hub_share:
+        nodes.append(("topic:hub", "topic", "hub", 0, None, n))
+        rows += [(f"chunk:{i}", "topic:hub", "has_topic", 0.7, i, None) for i in range(n) if rng.random() < hub_share]
+    return nodes, rows
+
+
+NODES = "node_id string, type string, key string, valid_from long, valid_to long, ord long"
+EDGES = "src string, dst string, relation string, weight double, valid_from long, valid_to long"
+SEEDS = "seq long, at long, node_id string, mass double"
+
+
+def plain_walks(nodes, steps, seeds, alpha, top_n, skip_seeds=False, iterations=None):
+    """Power iteration over each reader's whole graph: {seq: [(cand, score)]} over all candidates, best first."""
+    place = {r[0]: r[5] for r in nodes}
+    out = {}
+    for seq, at in sorted({(q, a) for q, a, *_ in seeds}):
+        live = [(place[s], place[d], w) for s, d, w, f, t in steps if f < at and (t is None or t > at)]
+        start = np.zeros(len(nodes))
+        for q, _, node, mass in seeds:
+            if q == seq:
+                start[place[node]] += mass
+        s, d, w = (np.array([e[i] for e in live], dtype=(int, int, float)[i]) for i in range(3))
+        r = power_iterate(len(nodes), s, d, w, start, alpha, iterations or 2000, 0.0 if iterations else 1e-16)
+        ok = [r_[5] for r_ in nodes if r_[1] == "chunk" and r[r_[5]] > 0 and (r_[4] is None or r_[4] > at) and not (skip_seeds and start[r_[5]] > 0)]
+        out[seq] = [(i, r[i]) for i in sorted(ok, key=lambda i: (-round(float(np.log(r[i])), 9), i))][:top_n]
+    return out
+
+
+def ranked(df):
+    out = defaultdict(list)
+    for r in df.orderBy("seq", "rank").collect():
+        out[r.seq].append((r.cand, r.score, r.slack))
+    return out
+
+
+@pytest.mark.parametrize(("directed", "walk_block", "hub"), [(False, 5, 0.9), (True, 64, 0.9)])
+def test_ranked_walks(spark, directed, walk_block, hub):
     rng = np.random.default_rng(5)
-    n = 14
-    nodes = spark.createDataFrame([(f"chunk:{i}", "chunk", str(i), i, None if i % 4 else i + 9, i) for i in range(n)],
-                                  "node_id string, type string, key string, valid_from long, valid_to long, ord long")
-    pairs = {(int(a), int(b)) for a, b in rng.integers(0, n, (30, 2)) if a != b}
-    edges = spark.createDataFrame(
-        [(f"chunk:{a}", f"chunk:{b}", "similar_to" if a % 2 else "contains", float(rng.random() + 0.1), max(a, b), None if a % 3 else max(a, b) + 6) for a, b in sorted(pairs)],
-        "src string, dst string, relation string, weight double, valid_from long, valid_to long")
-    # node 3 is made early and node 13 has no edge yet: one reader is stuck on a lone node
-    seeds = spark.createDataFrame([(1, 20, "chunk:2", 1.0), (1, 20, "chunk:5", 0.5), (2, 12, "chunk:1", 2.0), (3, 1, "chunk:0", 1.0)],
-                                  "seq long, at long, node_id string, mass double")
-    steps = gr.walk_steps(edges, directed)
-    a = {(r.seq, r.node_id): r.score for r in personalised_pagerank(seeds, steps, nodes, alpha=0.8, max_iter=12).collect()}
-    b = {(r.seq, r.node_id): r.score for r in personalised_pagerank(seeds, steps, nodes, alpha=0.8, max_iter=12, kernel_edges=0).collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
-    assert abs(a[3, "chunk:0"] - 1) < 1e-12
+    n = 60
+    nodes, edges = walk_graph(rng, n, hub)
+    # reader 3 is stuck on a lone node, reader 4 has no live step at its tick but a seed, reader 9 begins at a hub
+    seeds = [(1, 50, "chunk:2", 1.0), (1, 50, "chunk:5", 0.5), (2, 35, "chunk:1", 2.0), (3, 1, "chunk:0", 1.0), (4, 70, "chunk:59", 1.0)]
+    seeds += [(10 + i, int(at), f"chunk:{rng.integers(0, at)}", 1.0) for i, at in enumerate(rng.integers(3, n, 20))]
+    if hub:
+        seeds += [(9, 58, "topic:hub", 1.0), (9, 58, "chunk:3", 0.1)]
+    reverse = {"contains": 0.4, "has_topic": 0.0}
+    stepdf = gr.walk_steps(spark.createDataFrame(edges, EDGES), directed, **({"reverse": reverse} if directed else {}))
+    steps = [(r.src, r.dst, r.weight, r.valid_from, r.valid_to) for r in stepdf.collect()]
+    for kw in ({}, {"skip_seeds": True}, {"iterations": 4}):
+        got = ranked(ranked_walks(spark.createDataFrame(seeds, SEEDS), stepdf, spark.createDataFrame(nodes, NODES), alpha=0.8, top_n=5,
+                                  symmetric=not directed, walk_block=walk_block, **kw))
+        want = plain_walks(nodes, steps, seeds, 0.8, 5, **kw)
+        assert {q: [c for c, *_ in v] for q, v in got.items()} == {q: [c for c, _ in v] for q, v in want.items() if v}
+        for q, v in got.items():
+            for (_, score, slack), (_, true) in zip(v, want[q], strict=True):
+                assert score <= true + 1e-12 and true <= score + slack + 1e-12
+
+
+def test_shared_mass_goes_to_every_earlier_member(spark):
+    rng = np.random.default_rng(11)
+    nodes, edges = walk_graph(rng, 40)
+    members = [("doc:a", f"chunk:{i}", i) for i in range(0, 40, 3)]
+    stepdf = gr.walk_steps(spark.createDataFrame(edges, EDGES), False)
+    shared = spark.createDataFrame([(1, 30, "doc:a", 3.0), (2, 12, "doc:a", 1.0)], "seq long, at long, owner string, mass double")
+    direct = [(1, 30, "chunk:4", 0.5), (3, 20, "chunk:7", 1.0)]
+    got = ranked(ranked_walks(spark.createDataFrame(direct, SEEDS), stepdf, spark.createDataFrame(nodes, NODES), alpha=0.8, top_n=4, symmetric=True,
+                              shared=shared, members=spark.createDataFrame(members, "owner string, node_id string, valid_from long")))
+    seeds = direct + [(q, at, m, mass) for q, at, mass in ((1, 30, 3.0), (2, 12, 1.0)) for _, m, f in members if f < at]
+    steps = [(r.src, r.dst, r.weight, r.valid_from, r.valid_to) for r in stepdf.collect()]
+    assert {q: [c for c, *_ in v] for q, v in got.items()} == {q: [c for c, _ in v] for q, v in plain_walks(nodes, steps, seeds, 0.8, 4).items()}
+
+
+def hub_work(spark, n):
+    """Nodes expanded, over all blocks, for n readers that each begin at a document of few chunks and at one hub of all chunks."""
+    nodes = [(f"chunk:{i}", "chunk", str(i), i, None, i) for i in range(n)]
+    nodes += [(f"doc:{k}", "document", str(k), 0, None, n + k) for k in range(n // 8)] + [("topic:hub", "topic", "hub", 0, None, n + n // 8)]
+    rows = [(f"doc:{i // 8}", f"chunk:{i}", "contains", 1.5 + i % 8, i, None) for i in range(n)]
+    rows += [(f"chunk:{i}", "topic:hub", "has_topic", 0.7, i, None) for i in range(n)]
+    seeds = [(i, n, f"doc:{i // 8}", 0.1) for i in range(0, n, 8)] + [(i, n, "topic:hub", 1.0 / n) for i in range(0, n, 8)]
+    seen = []
+    kept = pagerank.cut
+
+    def watched(df):
+        out = kept(df)
+        if df.columns == ["block", "ord"]:
+            seen.append(out.where("ord >= 0").count())
+        return out
+
+    pagerank.cut = watched
+    try:
+        got = ranked_walks(spark.createDataFrame(seeds, SEEDS), gr.walk_steps(spark.createDataFrame(rows, EDGES), False),
+                           spark.createDataFrame(nodes, NODES), alpha=0.85, top_n=5, symmetric=True, walk_block=8)
+        assert got.count() == 5 * (n // 8)
+    finally:
+        pagerank.cut = kept
+    return max(seen)
+
+
+def test_a_hub_of_all_chunks_stays_closed(spark):
+    small, large = hub_work(spark, 512), hub_work(spark, 2048)
+    assert large < 5 * small  # four times the readers and the hub: in proportion, not the square
 
 
 def test_components(spark):

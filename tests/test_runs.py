@@ -44,10 +44,10 @@ def test_insert_only_equals_sequential(prepared, plain, baseline):
 
 
 @pytest.mark.parametrize("strategy", [graph_only, hybrid])
-def test_join_execution_finds_the_same(prepared, strategy):
+def test_block_size_changes_nothing(prepared, strategy):
     g = graph_of(prepared.kb)
     rows = lambda **kw: sorted((r.seq, r.rank, r.cand) for r in strategy(prepared.kb, g, **kw).collect())
-    assert rows(max_iter=15) == rows(max_iter=15, kernel_edges=0)
+    assert rows(walk_block=1) == rows(walk_block=64)
 
 
 @pytest.mark.parametrize("baseline", BASELINES)

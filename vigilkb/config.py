@@ -46,8 +46,8 @@ class Physical:
     head_facets: int = 6
     # keys with more intervals than this use the dyadic interval index
     stab_small: int = 64
-    # largest stamped edge list the PageRank kernel may broadcast
-    kernel_edges: int = 1_000_000
+    # readers that share one expanded part of the graph in a PageRank task
+    walk_block: int = 64
 
 
 DISCOVERY = Discovery()

@@ -19,7 +19,6 @@ from vigilkb.operators import reordering as ro
 from vigilkb.operators.facets import facet_weights, facets_of, metadata_candidates
 from vigilkb.operators.knn import knn_join, vector_candidates
 from vigilkb.operators.ordering import number_rows, span_for
-from vigilkb.operators.pagerank import personalised_pagerank, top_chunks
 from vigilkb.operators.replay import log_of, rebuild
 from vigilkb.plans import kb as plan
 from vigilkb.session import cut
@@ -194,13 +193,13 @@ def neighbour_snippets(spark, sf):
 
 @query
 def facets_long(spark, sf):
-    kb = plan.from_tables(spark, sf, FACET_COLUMNS, every=True)
+    kb = plan.from_tables(spark, sf, FACET_COLUMNS)
     return facets_of(kb.chunks, ["seq"])
 
 
 @query
 def facet_idf(spark, sf):
-    kb = plan.from_tables(spark, sf, FACET_COLUMNS, every=True)
+    kb = plan.from_tables(spark, sf, FACET_COLUMNS)
     w = facet_weights(kb.asked_facets(), cut(kb.stored_facets()), kb.span)
     return w.select("seq", "kind", "value", F.col("df").cast("long").alias("df"), F.col("n").cast("long").alias("n"), r6("idf").alias("idf"))
 
@@ -359,7 +358,7 @@ def active_view(spark, sf):
 @query
 def graph_state_at(spark, sf):
     kb, g = _graph(spark, sf)
-    half = table(spark, sf, "embeddings").count() // 2
+    half = table(spark, sf, "events").count() // 2
     _, edges = gr.graph_at(g.nodes, g.edges, half)
     return edges.select("src", "dst", "relation")
 
@@ -408,24 +407,24 @@ def hybrid_seeds(spark, sf):
     return s.select("seq", "population", "node_id", "members", r6("mass").alias("mass"))
 
 
+def _walked(found):
+    return found.select("seq", "cand", "rank", F.round("score", 9).alias("score"), F.round("slack", 9).alias("slack"))
+
+
 @query
 def ppr_fixed_iters(spark, sf):
-    kb, g = _graph(spark, sf)
-    seeds = cut(gr.graph_seeds(gr.anchors_for(kb.readers, kb.chunks, g.nodes, kb.span), g.edges, kb.span))
-    scores = personalised_pagerank(seeds, gr.walk_steps(g.edges, False), g.nodes, alpha=DISCOVERY.damping, max_iter=5, tol=0.0)
-    return top_chunks(scores, g.nodes, DISCOVERY.graph_top_n, exclude=seeds).select("seq", "cand", F.round("score", 8).alias("score"), "rank")
+    """Exactly five power iterations, so that scores are exact (``slack`` 0)."""
+    return _walked(plan.graph_only(*_graph(spark, sf), iterations=5))
 
 
 @query
 def graph_candidates(spark, sf):
-    kb, g = _graph(spark, sf)
-    return plan.graph_only(kb, g).select("seq", "cand", r6("score").alias("score"), "rank")
+    return _walked(plan.graph_only(*_graph(spark, sf)))
 
 
 @query
 def hybrid_candidates(spark, sf):
-    kb, g = _graph(spark, sf)
-    return plan.hybrid(kb, g).select("seq", "cand", r6("score").alias("score"), "rank")
+    return _walked(plan.hybrid(*_graph(spark, sf)))
 
 
 @query
@@ -441,10 +440,10 @@ def rebuild_from_log(spark, sf):
 # ----------------------------------------------------------------- judging and evaluation
 
 
-def gold_of(spark, sf, every=False):
+def gold_of(spark, sf):
     """Labelled arrivals: quality/toxicity marks stand for the gold label, and the first
     document of the same entity plus the declared sources are what a conflict implicates."""
-    a = plan.keyed(plan.arrivals(spark, sf, False, every)).select("seq", "text_id", "op", "doc_id", "entity", "derived_from")
+    a = plan.keyed(plan.arrivals(spark, sf, False)).select("seq", "text_id", "op", "doc_id", "entity", "derived_from")
     marks = table(spark, sf, "labels").select(F.col("doc_id").alias("text_id"), "quality", "toxic")
     first = a.groupBy("entity").agg(F.min_by("doc_id", "seq").alias("first_doc"))
     label = (
@@ -579,29 +578,29 @@ def aggregate_label_rates(spark, sf):
 
 @query
 def order_dag_edges(spark, sf):
-    return ro.order_constraints(cut(gold_of(spark, sf, every=True)), _log_span(spark, sf))
+    return ro.order_constraints(cut(gold_of(spark, sf)), _log_span(spark, sf))
 
 
 @query
 def dag_in_degree(spark, sf):
-    g = cut(gold_of(spark, sf, every=True))
+    g = cut(gold_of(spark, sf))
     return ro.in_degree(g, ro.order_constraints(g, _log_span(spark, sf)))
 
 
 @query
 def conflict_positions(spark, sf):
-    return ro.conflict_positions(gold_of(spark, sf, every=True))
+    return ro.conflict_positions(gold_of(spark, sf))
 
 
 @query
 def label_histogram(spark, sf):
-    return ro.label_histogram(gold_of(spark, sf, every=True))
+    return ro.label_histogram(gold_of(spark, sf))
 
 
 @query
 def shuffle_valid(spark, sf):
     """A constraint-respecting order of the whole log, seed 42."""
-    return ro.random_order(cut(gold_of(spark, sf, every=True)), 42, span=_log_span(spark, sf)).select("seq", "position")
+    return ro.random_order(cut(gold_of(spark, sf)), 42, span=_log_span(spark, sf)).select("seq", "position")
 
 
 CATALOGUE["lexicon_mentions"] = CATALOGUE.pop("lexicon_mentions_q")

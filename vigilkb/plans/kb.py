@@ -23,7 +23,7 @@ from vigilkb.operators.graph import (
 from vigilkb.operators.knn import vector_candidates
 from vigilkb.operators.lifecycle import chunks_of, source_or_doc
 from vigilkb.operators.ordering import span_for
-from vigilkb.operators.pagerank import personalised_pagerank, top_chunks
+from vigilkb.operators.pagerank import ranked_walks
 from vigilkb.session import cut
 from vigilkb.sources.tables import arrivals, table
 
@@ -57,11 +57,10 @@ def keyed(df: DataFrame) -> DataFrame:
     )
 
 
-def from_tables(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, every: bool = False) -> KB:
+def from_tables(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> KB:
     """KB of the shared test tables.  The arrivals join is materialised once."""
-    base = keyed(arrivals(spark, sf_dir, columns is None or "title" in columns, every))
-    clock = ("events", "event_id") if every else ("embeddings", "vec_id")
-    span = span_for(table(spark, sf_dir, clock[0]).agg(F.max(clock[1]) + 1).first()[0])
+    base = keyed(arrivals(spark, sf_dir, columns is None or "title" in columns))
+    span = span_for(table(spark, sf_dir, "events").agg(F.max("event_id") + 1).first()[0])
     chunks = chunks_of(base, span)
     if columns is not None:
         chunks = chunks.select(*dict.fromkeys(["seq", "op", "doc_id", "valid_from", "valid_to", *columns]))
@@ -103,15 +102,16 @@ def metadata_only(kb: KB, **kw) -> DataFrame:
 
 
 def graph_only(kb: KB, g: Graph, **kw) -> DataFrame:
+    """(seq, cand, score, slack, rank); see ``ranked_walks``."""
     seeds = cut(graph_seeds(anchors_for(kb.readers, kb.chunks, g.nodes, kb.span), g.edges, kb.span))
-    scores = personalised_pagerank(seeds, walk_steps(g.edges, False), g.nodes, alpha=DISCOVERY.damping, **kw)
-    return top_chunks(scores, g.nodes, DISCOVERY.graph_top_n, exclude=seeds)
+    return ranked_walks(seeds, walk_steps(g.edges, False), g.nodes, alpha=DISCOVERY.damping, top_n=DISCOVERY.graph_top_n,
+                        symmetric=True, skip_seeds=True, span=kb.span, **kw)
 
 
 def hybrid(kb: KB, g: Graph, p: Discovery = DISCOVERY, **kw) -> DataFrame:
+    """(seq, cand, score, slack, rank); every relation weighs the same in both directions here."""
     seeds = hybrid_seeds(kb.readers, kb.chunks, g.nodes, g.edges, g.found, p.hybrid_k_vec, p.w_entity, p.w_old, kb.span)
     seeds = cut(seeds)
-    scores = personalised_pagerank(
-        direct_mass(seeds), walk_steps(g.edges, True), g.nodes, alpha=1.0 - p.restart,
-        shared=shared_mass(seeds), members=members_of(kb.chunks), **kw)
-    return top_chunks(scores, g.nodes, p.hybrid_top_n)
+    return ranked_walks(
+        direct_mass(seeds), walk_steps(g.edges, True), g.nodes, alpha=1.0 - p.restart, top_n=p.hybrid_top_n, symmetric=True,
+        shared=shared_mass(seeds), members=members_of(kb.chunks), span=kb.span, **kw)

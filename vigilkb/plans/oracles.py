@@ -42,8 +42,8 @@ def _paired(vec: str, text: str, page: str) -> str:
     return _CHUNKS.replace("{vec}", vec).replace("{text}", text).replace("{page}", page)
 
 
-CHUNKS = _paired(*["v.event_id"] * 3)
-EVERY = _paired(*[_AROUND.format(t) for t in ("embeddings", "documents", "pages")])
+# every event takes part; the shorter tables are gone through again and again
+CHUNKS = _paired(*[_AROUND.format(t) for t in ("embeddings", "documents", "pages")])
 
 
 def live(c: str, at: str) -> str:
@@ -153,57 +153,6 @@ hseeds AS (
     FROM chunks c JOIN chunks m ON m.doc_id = c.doc_id AND m.seq < c.seq GROUP BY c.seq, c.doc_id)"""
 
 
-def walk(iterations: int, alpha: float) -> str:
-    """Power iteration over ``steps(src, dst, weight, valid_from, valid_to)`` from
-    ``start(seq, node_id, mass)``; every seed of these graphs has outgoing steps."""
-    return f"""
-hop AS MATERIALIZED (
-  SELECT c.seq, s.src, s.dst, sum(s.weight) AS weight
-  FROM chunks c JOIN steps s ON {live('s', 'c.seq')} GROUP BY c.seq, s.src, s.dst),
-trans AS MATERIALIZED (
-  SELECT seq, src, dst, weight / sum(weight) OVER (PARTITION BY seq, src) AS share FROM hop),
-p AS MATERIALIZED (
-  SELECT seq, node_id AS node, sum(mass) / sum(sum(mass)) OVER (PARTITION BY seq) AS val
-  FROM start GROUP BY seq, node_id),
-r(it, seq, node, val) AS (
-  SELECT 0, seq, node, val FROM p
-  UNION ALL
-  SELECT it, seq, node, sum(val) FROM (
-    SELECT r.it + 1 AS it, t.seq, t.dst AS node, {alpha} * r.val * t.share AS val
-      FROM r JOIN trans t ON t.seq = r.seq AND t.src = r.node WHERE r.it < {iterations}
-    UNION ALL
-    SELECT r.it + 1, r.seq, r.node, (1 - {alpha}) * p.val
-      FROM r JOIN p ON p.seq = r.seq AND p.node = r.node WHERE r.it < {iterations})
-  GROUP BY it, seq, node)"""
-
-
-def best(iterations: int, decimals: int, drop_seeds: bool) -> str:
-    gone = "AND NOT EXISTS (SELECT 1 FROM seeds s WHERE s.seq = r.seq AND s.node_id = r.node)" if drop_seeds else ""
-    return f"""
-SELECT seq, cand, score, rank FROM (
-  SELECT r.seq, substr(r.node, 7)::BIGINT AS cand, round(r.val, {decimals}) AS score,
-         row_number() OVER (PARTITION BY r.seq ORDER BY round(ln(r.val), 9) DESC, n.ord) AS rank
-  FROM r JOIN nodes n ON n.node_id = r.node
-  WHERE r.it = {iterations} AND r.val > 0 AND n.type = 'chunk' AND (n.valid_to IS NULL OR n.valid_to > r.seq) {gone})
-WHERE rank <= 5"""
-
-
-UNDIRECTED = """
-steps AS (
-  SELECT src, dst, weight, valid_from, valid_to FROM edges
-  UNION ALL SELECT dst, src, weight, valid_from, valid_to FROM edges)"""
-
-DIRECTED = """
-steps AS (
-  SELECT src, dst, weight, valid_from, valid_to FROM edges
-  UNION ALL SELECT dst, src, weight, valid_from, valid_to FROM edges WHERE relation <> 'similar_to')"""
-
-START_HYBRID = """
-start AS (
-  SELECT seq, node_id, mass FROM hseeds WHERE population <> 'prior'
-  UNION ALL SELECT c.seq, 'chunk:' || m.seq, 3.0
-    FROM chunks c JOIN chunks m ON m.doc_id = c.doc_id AND m.seq < c.seq)"""
-
 GOLD = """
 firsts AS (SELECT entity, arg_min(doc_id, seq) AS first_doc FROM arr GROUP BY entity),
 gold AS (
@@ -366,8 +315,8 @@ FROM knn k JOIN chunks q ON q.seq = k.seq JOIN chunks c ON c.seq = k.cand GROUP
 
 # ----------------------------------------------------------------- metadata
 
-sql("facets_long", EVERY, FACETS, body="SELECT seq, kind, value FROM f")
-sql("facet_idf", EVERY, FACETS, WEIGHTS, body="SELECT seq, kind, value, df, n, round(idf, 6) AS idf FROM wi")
+sql("facets_long", CHUNKS, FACETS, body="SELECT seq, kind, value FROM f")
+sql("facet_idf", CHUNKS, FACETS, WEIGHTS, body="SELECT seq, kind, value, df, n, round(idf, 6) AS idf FROM wi")
 sql("metadata_candidates", CHUNKS, FACETS, WEIGHTS, METADATA, body="SELECT seq, cand, score, rank FROM meta")
 sql("facet_shared", CHUNKS, FACETS, WEIGHTS, METADATA, body="SELECT seq, cand, shared FROM meta")
 
@@ -440,7 +389,7 @@ sql("active_view", *G, NODES, body="""
 SELECT src, dst, relation FROM edges e WHERE valid_to IS NULL
   AND src IN (SELECT node_id FROM nodes WHERE valid_to IS NULL) AND dst IN (SELECT node_id FROM nodes WHERE valid_to IS NULL)""")
 sql("graph_state_at", *G, NODES, """
-h AS (SELECT count(*) // 2 AS h FROM embeddings),
+h AS (SELECT count(*) // 2 AS h FROM events),
 alive AS (SELECT node_id FROM nodes, h WHERE valid_from <= h AND (valid_to IS NULL OR valid_to > h))""", body="""
 SELECT src, dst, relation FROM edges, h WHERE valid_from <= h AND (valid_to IS NULL OR valid_to > h)
   AND src IN (SELECT node_id FROM alive) AND dst IN (SELECT node_id FROM alive)""")
@@ -478,10 +427,6 @@ SELECT seq, cand, hop, rank FROM (
 GS = (*G, NODES, ANCHORS, LINKS, SEEDS)
 sql("graph_seeds", *GS, body="SELECT seq, node_id, round(mass, 6) AS mass FROM seeds")
 sql("hybrid_seeds", *G, HYBRID, body="SELECT seq, population, node_id, members, round(mass, 6) AS mass FROM hseeds")
-START_GRAPH = "start AS (SELECT seq, node_id, mass FROM seeds)"
-sql("ppr_fixed_iters", *GS, UNDIRECTED, START_GRAPH, walk(5, 0.85), recursive=True, body=best(5, 8, True))
-sql("graph_candidates", *GS, UNDIRECTED, START_GRAPH, walk(100, 0.85), recursive=True, body=best(100, 6, True))
-sql("hybrid_candidates", *G, NODES, HYBRID, DIRECTED, START_HYBRID, walk(100, 0.8), recursive=True, body=best(100, 6, False))
 
 # ----------------------------------------------------------------- judging and evaluation
 
@@ -549,16 +494,16 @@ dag AS (
   UNION ALL
   SELECT f.first_seq, i.seq FROM (SELECT seq, unnest(implicates) AS d FROM gold) i
     JOIN (SELECT doc_id, min(seq) AS first_seq FROM gold GROUP BY doc_id) f ON f.doc_id = i.d WHERE f.first_seq <> i.seq)"""
-sql("order_dag_edges", EVERY, GOLD, DAG, body="SELECT pred, succ FROM dag")
-sql("dag_in_degree", EVERY, GOLD, DAG, body="""
+sql("order_dag_edges", CHUNKS, GOLD, DAG, body="SELECT pred, succ FROM dag")
+sql("dag_in_degree", CHUNKS, GOLD, DAG, body="""
 SELECT g.seq, count(d.succ) AS in_degree FROM gold g LEFT JOIN dag d ON d.succ = g.seq GROUP BY g.seq""")
-sql("conflict_positions", EVERY, GOLD, body="""
+sql("conflict_positions", CHUNKS, GOLD, body="""
 SELECT min(p) AS first, max(p) AS last, list_sort(list(p))[count(*) // 2 + 1] AS median
 FROM (SELECT seq - 1 AS p FROM gold WHERE expected_label <> 'clean')""")
-sql("label_histogram", EVERY, GOLD, body="SELECT expected_label, count(*) AS n FROM gold GROUP BY expected_label")
+sql("label_histogram", CHUNKS, GOLD, body="SELECT expected_label, count(*) AS n FROM gold GROUP BY expected_label")
 # the least order that respects the constraints: an event's key is the largest of its own
 # random one and, along every chain of predecessors, theirs plus the steps between
-sql("shuffle_valid", EVERY, GOLD, DAG, """
+sql("shuffle_valid", CHUNKS, GOLD, DAG, """
 step AS (SELECT DISTINCT pred, succ FROM dag),
 lifted AS (
   SELECT seq, ('0x' || substr(md5('42:' || seq), 1, 12))::BIGINT AS key FROM gold

@@ -1,11 +1,10 @@
 """The shared test tables as a stream of change events.
 
 An arrival is one row of ``events`` paired with the text of ``documents`` and the vector of
-``embeddings``; ``pages`` supplies titles.  ``every`` event takes part if its place is
-counted around the (dense) ids of the shorter tables; without it the pairs are those of
-equal ids, which the queries over ranked walks still use.  The event's user is the
-document being written, purchase/error events are updates/deletes, and the label,
-language and day act as entity, topic and date anchors.
+``embeddings``; ``pages`` supplies titles.  Every event takes part: its place is counted
+around the (dense) ids of the shorter tables.  The event's user is the document being
+written, purchase/error events are updates/deletes, and the label, language and day act
+as entity, topic and date anchors.
 """
 
 from __future__ import annotations
@@ -34,8 +33,8 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def arrivals(spark: SparkSession, sf_dir: str, titles: bool = True, every: bool = False) -> DataFrame:
-    around = lambda name: F.col("event_id") % F.lit(table(spark, sf_dir, name).count() if every else 1 << 60)
+def arrivals(spark: SparkSession, sf_dir: str, titles: bool = True) -> DataFrame:
+    around = lambda name: F.col("event_id") % F.lit(table(spark, sf_dir, name).count())
     events = table(spark, sf_dir, "events").select(
         around("embeddings").alias("vec_id"),
         around("documents").alias("text_id"),
