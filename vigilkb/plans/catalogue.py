@@ -16,6 +16,7 @@ from vigilkb.operators import graph as gr
 from vigilkb.operators import judging as jd
 from vigilkb.operators import lifecycle as lc
 from vigilkb.operators import reordering as ro
+from vigilkb.operators.adjudication import adjudicated_fold
 from vigilkb.operators.facets import facet_weights, facets_of, metadata_candidates
 from vigilkb.operators.knn import knn_join, vector_candidates
 from vigilkb.operators.ordering import number_rows, span_for
@@ -31,7 +32,7 @@ CATALOGUE: dict[str, Query] = {}
 GRAPH_COLUMNS = ["source_id", "entities", "dates", "topics", "derived_from", "vec"]
 FACET_COLUMNS = ["source_id", "entities", "dates", "topics", "title"]
 # thresholds at which the random test vectors fall into all three bands
-FOLD_HIGH, FOLD_LOW = 0.30, 0.22
+FOLD_HIGH, FOLD_LOW, FOLD_FLOOR = 0.30, 0.22, 0.18
 
 
 def query(fn: Query) -> Query:
@@ -271,6 +272,37 @@ def resolution_log(spark, sf):
         "event", "type", "band", "n")
 
 
+def _repeated_mentions(spark, sf):
+    """Three mentions per chunk; the last fifth of the vectors are mentioned under the signatures of the first ones."""
+    e = table(spark, sf, "embeddings").where("vec_id IS NOT NULL")
+    n = e.count() * 4 // 5
+    named = e.where(F.col("vec_id") < n).select(F.col("vec_id").alias("s"), F.concat(F.lit("t"), "label").alias("type"), F.col("embedding").alias("vec"))
+    said = e.select(F.pmod("vec_id", F.lit(n)).alias("s"), (F.floor(F.col("vec_id") / 3) + 1).alias("seq"), (F.col("vec_id") % 3).cast("int").alias("pos"),
+                    F.when(F.col("vec_id") < n, "Name ").otherwise("Alias ").alias("kind"))
+    return said.join(named, "s").select("seq", "pos", "type", F.concat(F.lit("name "), "s").alias("sig"), F.concat("kind", "s").alias("surface"), "vec")
+
+
+def _even_judge(asks):
+    """An adjudicator that merges a mention into its best candidate if their numbers add up to an even one."""
+    number = lambda c: F.regexp_extract(c, "([0-9]+)", 1).cast("long")
+    same = (number(F.col("sig")) + number(F.col("top"))) % 2 == 0
+    verdict = F.struct(
+        F.when(same, "merge").otherwise("create_new").alias("decision"), F.when(same, F.col("top")).alias("candidate_id"),
+        F.lit(0.5).alias("confidence"), F.lit("even").alias("rationale"))
+    return asks.select("sig", "top", verdict.alias("verdict"))
+
+
+@query
+def entity_fold_adjudicated(spark, sf):
+    """Every mention with what it became and the record it left in the log (none for a repeat in the minting chunk)."""
+    span = span_for(table(spark, sf, "embeddings").count())
+    res, _, _ = adjudicated_fold(_repeated_mentions(spark, sf), _even_judge, tau_high=FOLD_HIGH, tau_low=FOLD_LOW, floor=FOLD_FLOOR, span=span)
+    log = er.resolution_log(res).select(
+        "seq", "pos", F.col("type").alias("event"), "payload.chunk_id", "payload.surface_form", "payload.confidence", "payload.rationale")
+    return res.join(log, ["seq", "pos"], "left").select(
+        "seq", F.col("pos").cast("long").alias("pos"), "sig", "type", "band", "matched", "canonical_id", "event", "chunk_id", "surface_form", "confidence", "rationale")
+
+
 # ----------------------------------------------------------------- graph
 
 

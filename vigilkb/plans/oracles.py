@@ -360,6 +360,53 @@ sql("resolution_log", PAIRS, FOLD, recursive=True, body="""
 SELECT CASE WHEN matched IS NULL THEN 'entity_create' ELSE 'entity_merge' END AS event, type, band, count(*) AS n
 FROM res GROUP BY ALL""")
 
+# one chunk of up to three mentions after another; the state is the list of signatures that have minted
+ADJUDICATED = """
+n AS (SELECT count(*) * 4 // 5 AS n FROM embeddings),
+v AS (SELECT vec_id AS s, 't' || label AS type, embedding::DOUBLE[] AS vec FROM embeddings, n WHERE vec_id < n),
+said AS (
+  SELECT vec_id // 3 + 1 AS seq, vec_id % 3 AS pos, s, type, CASE WHEN vec_id < n THEN 'Name ' ELSE 'Alias ' END || s AS surface
+  FROM embeddings e, n JOIN v ON v.s = e.vec_id % n),
+near AS (
+  SELECT q.s, list({'e': c.s, 'score': round(list_dot_product(q.vec, c.vec), 6)} ORDER BY round(list_dot_product(q.vec, c.vec), 6) DESC, c.s) AS near
+  FROM v q JOIN v c ON c.type = q.type AND c.s <> q.s WHERE round(list_dot_product(q.vec, c.vec), 6) >= 0.18 GROUP BY q.s),
+chunk AS (
+  SELECT seq, list({'s': s, 'near': coalesce(near, [])} ORDER BY pos) AS m
+  FROM (SELECT seq, s, min(pos) AS pos FROM said GROUP BY seq, s) LEFT JOIN near USING (s) GROUP BY seq),
+step(seq, canon) AS (
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT c.seq, list_concat(step.canon, list_transform(list_filter(c.m, lambda y: NOT list_contains(step.canon, y.s) AND coalesce(
+    CASE WHEN list_filter(y.near, lambda x: list_contains(step.canon, x.e))[1].score >= 0.30 THEN false
+         WHEN list_filter(y.near, lambda x: list_contains(step.canon, x.e))[1].score >= 0.22
+         THEN (y.s + list_filter(y.near, lambda x: list_contains(step.canon, x.e))[1].e) % 2 = 1 ELSE true END, true)), lambda y: y.s))
+  FROM step JOIN chunk c ON c.seq = step.seq + 1),
+minted AS (
+  SELECT s, (SELECT min(seq) FROM step t WHERE list_contains(t.canon, s)) AS since, place
+  FROM (SELECT unnest(canon) AS s, generate_subscripts(canon, 1) AS place FROM step WHERE seq = (SELECT max(seq) FROM step))),
+ents AS (
+  SELECT s, since, type, type || '-' || row_number() OVER (PARTITION BY type ORDER BY place) AS canonical_id FROM minted JOIN v USING (s)),
+tops AS (
+  SELECT m.seq, m.pos, arg_max(e.canonical_id, (round(list_dot_product(q.vec, c.vec), 6), -e.since)) AS top_id,
+         arg_max(e.s, (round(list_dot_product(q.vec, c.vec), 6), -e.since)) AS top, max(round(list_dot_product(q.vec, c.vec), 6)) AS score
+  FROM said m JOIN v q USING (s) JOIN ents e ON e.type = m.type AND e.since < m.seq AND e.s <> m.s JOIN v c ON c.s = e.s
+  WHERE round(list_dot_product(q.vec, c.vec), 6) >= 0.18 GROUP BY m.seq, m.pos),
+res AS (
+  SELECT m.seq, m.pos, 'name ' || m.s AS sig, m.type, m.surface,
+         CASE WHEN o.since < m.seq THEN 'high' WHEN coalesce(score, 0) < 0.22 THEN 'low' WHEN score >= 0.30 THEN 'high' ELSE 'gray' END AS band,
+         CASE WHEN o.since < m.seq THEN o.canonical_id WHEN score >= 0.30 OR (score >= 0.22 AND (m.s + top) % 2 = 0) THEN top_id END AS matched,
+         o.canonical_id AS own
+  FROM said m LEFT JOIN tops t ON t.seq = m.seq AND t.pos = m.pos LEFT JOIN ents o ON o.s = m.s)"""
+sql("entity_fold_adjudicated", ADJUDICATED, """
+log AS (
+  SELECT seq, pos, CASE WHEN matched IS NULL THEN 'entity_create' ELSE 'entity_merge' END AS event, seq::VARCHAR AS chunk_id, surface AS surface_form,
+         CASE WHEN matched IS NOT NULL THEN CASE WHEN band = 'gray' THEN 0.5 ELSE 1.0 END END::DOUBLE AS confidence,
+         CASE WHEN matched IS NOT NULL THEN CASE WHEN band = 'gray' THEN 'even' ELSE 'auto-merge (high)' END END AS rationale
+  FROM (SELECT *, row_number() OVER (PARTITION BY seq, coalesce(matched, own) ORDER BY pos) AS nth FROM res) WHERE matched IS NOT NULL OR nth = 1)""",
+    recursive=True, body="""
+SELECT seq, pos, sig, type, band, matched, coalesce(matched, own) AS canonical_id, event, chunk_id, surface_form, confidence, rationale
+FROM res LEFT JOIN log USING (seq, pos)""")
+
 # ----------------------------------------------------------------- graph
 
 G = (CHUNKS, knn(), GRAPH)

@@ -22,6 +22,7 @@ from vigilkb.functions.text import node_id
 from vigilkb.functions.vectors import embed_texts
 from vigilkb.operators import evaluation as ev
 from vigilkb.operators import lifecycle as lc
+from vigilkb.operators.adjudication import Adjudicator, adjudicated_fold
 from vigilkb.operators.entities import canonical_fold, route
 from vigilkb.operators.graph import live_successors
 from vigilkb.operators.judging import decide, oracle_judge, reports_of
@@ -41,12 +42,16 @@ class Setup:
     """Extension points of a run.
 
     ``extract``: text column -> ARRAY<STRUCT<type, surface, context>>; ``embed``: (df,
-    key, text) -> df with ``vec``; ``judge``: (candidates, chunks, gold) -> calls.
+    key, text) -> df with ``vec``; ``judge``: (candidates, chunks, gold) -> calls;
+    ``adjudicator``: asks -> verdicts (see ``operators.adjudication``), without one gray mentions mint;
+    ``vocabulary``: topic slug -> patterns, without one the built-in one.
     """
 
     extract: Callable = lexicon_mentions
     embed: Callable = embed_texts
     judge: Judge = oracle_judge
+    adjudicator: Adjudicator | None = None
+    vocabulary: dict[str, list[str]] | None = None
     controlled_topics: bool = True
     policy: str = "insert_only"
     tau_high: float = DISCOVERY.tau_high
@@ -71,8 +76,11 @@ def enrich(events: DataFrame, setup: Setup, known: DataFrame | None = None) -> t
         "source_id", lc.source_or_doc(F.col("source_id"), F.col("doc_id")))
     # extraction runs once per event; everything after reads its result
     found = cut(base.select("seq", F.posexplode(setup.extract(F.col("text"))).alias("pos", "m")).select("seq", "pos", "m.*"))
-    keys, named = route(found, controlled=setup.controlled_topics)
-    resolution, entities = canonical_fold(cut(named), setup.tau_high, setup.tau_low, known)
+    keys, named = route(found, setup.vocabulary, setup.controlled_topics)
+    if setup.adjudicator is None:
+        resolution, entities = canonical_fold(cut(named), setup.tau_high, setup.tau_low, known)
+    else:
+        resolution, entities, _ = adjudicated_fold(named, setup.adjudicator, tau_high=setup.tau_high, tau_low=setup.tau_low, known=known)
 
     def ids(column: str, out: str) -> DataFrame:
         first = resolution.where(F.col(column).isNotNull()).groupBy("seq", column).agg(F.min("pos").alias("pos"))
