@@ -129,6 +129,20 @@ def test_lines_run_without_python(spark, sf_dir):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_different_texts_of_one_id_and_clashing_names(spark):
+    first, other = "abcdefghij klmnopqrst uvwxyz", "0123456789 9876543210 zzzzzz"
+    near, nearer = first[:-1] + "Q", first[:-2] + "RQ"
+    docs = [(0, first), (1, other), (1, near), (2, nearer), (3, other), (3, other)]
+    clash = "doc_id long, text string, __gone int, lost int, lost_doc int, lost_mark int, mark int, pos int, line int, first int"
+    got = lines.dedup_lines(spark.createDataFrame([(*d, *range(8)) for d in docs], clash))
+    assert sorted(map(tuple, got.collect())) == [(0, first, *range(8)), (1, other, *range(8))]
+    # two texts of one id, several lines each: what one loses, the other keeps
+    a, b = "\n".join([first, "only in the first text", "a line of the first text"]), "\n".join(["only in the second text", first, "a line of the second one"])
+    got = lines.report(spark.createDataFrame([(7, a), (7, b)], "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in got) == [0, 1] and "only in" in got[0].text and "only in" in got[1].text
+    assert sum(first in r.text for r in got) == 1
+
+
 # ------------------------------------------------------------------ near duplicates
 
 @pytest.mark.parametrize("seed", [11, 12])

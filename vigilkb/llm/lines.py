@@ -17,8 +17,8 @@ line's variants meet the line that they equal.  In both the earliest member deci
 so groups are folded by their minimum, hot ones before they are shuffled, and never paired up.
 The edit distance to that earliest line is verified.
 
-Cases: a null text has no lines and stays null; empty and short lines stay; rows with equal
-doc_id are one document; a document without doc_id is not compared and stays as it is; other
+Cases: a null text has no lines and stays null; empty and short lines stay; equal rows are
+one document, different texts of one doc_id are documents in the order of their hashes; a document without doc_id is not compared and stays as it is; other
 columns are kept.
 """
 
@@ -33,13 +33,32 @@ LEAST_CHARS = 20
 FANOUT = 16
 
 
+def _mark(text: Column) -> Column:
+    """31 bits of the text's hash: which of the texts of a doc_id a place is in."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF))
+
+
 def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, pos, line); the upper half of ``pos`` is the text's mark, the lower one the line's number."""
     return (
-        docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        docs.select("doc_id", F.shiftleft(_mark(F.col("text")), 32).alias("mark"), F.posexplode(F.split("text", "\n")).alias("nth", "line"))
         .where(F.length("line") >= least)
+        .select("doc_id", (F.col("mark") + F.col("nth")).alias("pos"), "line")
     )
 
 
+def _number(pos: Column) -> Column:
+    return pos.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _identity() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")]
 
@@ -77,10 +96,12 @@ def _near(docs: DataFrame, by_id: DataFrame, firsts: DataFrame, least: int) -> D
     some = halves.join(_shared(halves), "variant", "left_semi").select("h1", "h2", "start", "size", "more").distinct()
     # the texts of the survivors, read at their first place
     places = some.join(firsts, ["h1", "h2"]).select("h1", "h2", "first", F.struct("start", "size", "more").alias("v"))
-    at = places.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("h1", "h2", "first", "v")).alias("asked"))
+    at = places.groupBy(F.col("first.doc_id").alias("doc_id"), F.shiftright("first.pos", 32).alias("mark")).agg(
+        F.collect_list(F.struct("h1", "h2", "first", "v")).alias("asked"))
     rows = cut(
-        by_id.join(at, "doc_id").select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("a"))
-        .select("a.h1", "a.h2", "a.first", "a.v.*", F.get("lines", F.col("a.first.pos")).alias("line"))
+        by_id.withColumn("mark", _mark(F.col("text"))).join(at, ["doc_id", "mark"]).select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("a"))
+        .select("a.h1", "a.h2", "a.first", "a.v.*", F.get("lines", _number(F.col("a.first.pos"))).alias("line"))
+        .where(F.xxhash64("line") == F.col("h1"))
     )
     while not rows.where(F.col("size") > FANOUT).isEmpty():
         part = F.greatest(F.ceil(F.col("size") / FANOUT).cast("int"), F.lit(1))
@@ -111,41 +132,45 @@ def _near(docs: DataFrame, by_id: DataFrame, firsts: DataFrame, least: int) -> D
     )
 
 
-def _judged(docs: DataFrame, least: int) -> DataFrame:
-    """``docs`` with the places of the lines that go."""
+def _judged(docs: DataFrame, least: int) -> tuple[DataFrame, Column]:
+    """``docs`` with the numbers of the lines that go (null: none), and the column that has them."""
     known = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     by_id = known.repartition(parts(docs.sparkSession), "doc_id")  # one shuffle of the texts, read by both joins
     places = _lines(known, least).select("doc_id", "pos", *_identity())
     firsts = cut(places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first")))
     near = cut(_near(known, by_id, firsts, least)).withColumn("near", F.lit(True))
     fate = cut(firsts.join(near, ["h1", "h2"], "left"))
+    lost, doc, mark = _free(docs, "lost"), _free(docs, "lost_doc"), _free(docs, "lost_mark")
     gone = cut(
         places.join(fate, ["h1", "h2"]).where(F.col("near").isNotNull() | (F.struct("doc_id", "pos") != F.col("first")))
-        .groupBy("doc_id").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc_id", "__id")
+        .groupBy(F.col("doc_id").alias(doc), F.shiftright("pos", 32).alias(mark)).agg(F.collect_set(_number(F.col("pos"))).alias(lost))
     )
     # one row per document with a repeated line: no size bounds it, so it is never broadcast
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["__id"], "left")
+    same = (docs["doc_id"] == gone[doc]) & (_mark(docs["text"]) == gone[mark])
+    return docs.join(gone.hint("merge"), same, "left"), F.col(lost)
 
 
-def _kept() -> Column:
+def _kept(lost: Column) -> Column:
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    kept = F.transform(F.filter(lines, lambda s: ~F.array_contains("__gone", s["i"])), lambda s: s["x"])
-    return F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.transform(F.filter(lines, lambda s: ~F.array_contains(lost, s["i"])), lambda s: s["x"])
+    return F.when(lost.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with the lines of ``text`` that stay; documents that lose every line go."""
-    emptied = F.col("__gone").isNotNull() & (F.size("__gone") == F.size(F.split("text", "\n")))
-    return _judged(docs, least).where(~emptied).select(*[(_kept() if c == "text" else F.col(c)).alias(c) for c in docs.columns])
+    judged, lost = _judged(docs, least)
+    emptied = lost.isNotNull() & (F.size(lost) == F.size(F.split("text", "\n")))
+    return judged.where(~emptied).select(*[(_kept(lost) if c == "text" else judged[c]).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, n_lines, n_removed, text) of every document; an emptied one has an empty text."""
-    return _judged(docs.select("doc_id", "text"), least).select(
+    judged, lost = _judged(docs.select("doc_id", "text"), least)
+    return judged.select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
-        _kept().alias("text"),
+        F.when(lost.isNull(), 0).otherwise(F.size(lost)).cast("long").alias("n_removed"),
+        _kept(lost).alias("text"),
     )
 
 
