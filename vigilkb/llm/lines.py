@@ -38,6 +38,11 @@ def _mark(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF))
 
 
+def _same(a: Column, b: Column) -> Column:
+    """Equality that is no key of a join, so that texts stay partitioned by doc_id alone."""
+    return a.bitwiseXOR(b) == 0
+
+
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, pos, line); the upper half of ``pos`` is the text's mark, the lower one the line's number."""
     return (
@@ -99,7 +104,8 @@ def _near(docs: DataFrame, by_id: DataFrame, firsts: DataFrame, least: int) -> D
     at = places.groupBy(F.col("first.doc_id").alias("doc_id"), F.shiftright("first.pos", 32).alias("mark")).agg(
         F.collect_list(F.struct("h1", "h2", "first", "v")).alias("asked"))
     rows = cut(
-        by_id.withColumn("mark", _mark(F.col("text"))).join(at, ["doc_id", "mark"]).select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("a"))
+        by_id.join(at, (by_id["doc_id"] == at["doc_id"]) & _same(_mark(by_id["text"]), at["mark"]))
+        .select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("a"))
         .select("a.h1", "a.h2", "a.first", "a.v.*", F.get("lines", _number(F.col("a.first.pos"))).alias("line"))
         .where(F.xxhash64("line") == F.col("h1"))
     )
@@ -146,7 +152,7 @@ def _judged(docs: DataFrame, least: int) -> tuple[DataFrame, Column]:
         .groupBy(F.col("doc_id").alias(doc), F.shiftright("pos", 32).alias(mark)).agg(F.collect_set(_number(F.col("pos"))).alias(lost))
     )
     # one row per document with a repeated line: no size bounds it, so it is never broadcast
-    same = (docs["doc_id"] == gone[doc]) & (_mark(docs["text"]) == gone[mark])
+    same = (docs["doc_id"] == gone[doc]) & _same(_mark(docs["text"]), gone[mark])
     return docs.join(gone.hint("merge"), same, "left"), F.col(lost)
 
 
