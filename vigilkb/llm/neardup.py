@@ -208,15 +208,40 @@ def classes(docs: DataFrame) -> DataFrame:
     each = reps.select("rep", "n", F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("members")).where("lo < hi")
     on = cut(each.join(shared.select("band", "members"), "band").select("band", "rep", "n", "members"))
-    # the first hubs of a bucket: its most connected member, and its smallest
-    degree = on.groupBy("rep").agg(F.sum("members").alias("degree"))
-    first = on.join(degree, "rep").groupBy("band").agg(F.max(F.struct("degree", "rep")).alias("top"), F.min("rep").alias("low"))
-    on = on.join(first, "band").withColumn("hub", F.col("rep").isin(F.col("top.rep"), F.col("low"))).drop("top", "low")
-    near = on.select(F.col("rep").alias("doc_id")).distinct()
+    near = cut(on.select(F.col("rep").alias("doc_id")).distinct())
     odds = cut(reps.select("rep", "odd").join(near, F.col("rep") == F.col("doc_id"), "left_semi"))
     bags = cut(docs.join(near, "doc_id").mapInArrow(_bags, "rep long, bag binary"))
-    links, named, rounds, compared = None, None, 0, None
-    on = on.withColumn("class", F.col("rep"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return cut(
+            pairs.join(bags.select(F.col("rep").alias("a"), F.col("bag").alias("abag")), "a")
+            .join(bags.select(F.col("rep").alias("b"), F.col("bag").alias("bbag")), "b")
+            .select("a", "b", "abag", "bbag").mapInArrow(_verified, "a long, b long")
+        )
+
+    def mixed(on: DataFrame) -> DataFrame:
+        """Without the buckets that are one class."""
+        open_ = on.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
+        return on.join(open_.select("band"), "band", "left_semi")
+
+    # a bucket's first hub is its most connected member; its sizes and parities travel with it
+    degree = on.groupBy("rep").agg(F.sum("members").alias("degree"))
+    told = on.join(degree.join(odds, "rep"), "rep")
+    first = cut(told.groupBy("band").agg(F.max(F.struct("degree", "rep", "n", "odd")).alias("top"), F.min("rep").alias("low")))
+    # at first every member is compared once, with the most connected of all its buckets' hubs
+    best = on.join(first.select("band", "top"), "band").groupBy("rep").agg(F.max("top").alias("top"), F.min("n").alias("n"))
+    best = best.where("rep != top.rep").join(odds, "rep").select(
+        "rep", "n", "odd", F.col("top.rep").alias("h"), F.col("top.n").alias("hn"), F.col("top.odd").alias("hodd"))
+    compared = cut(best.where(may_link("n", "odd", "hn", "hodd")).select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b")).distinct())
+    links, named, rounds = None, None, 0
+    on = on.join(first.select("band", F.col("top.rep").alias("top"), "low"), "band").withColumn(
+        "hub", F.col("rep").isin(F.col("top"), F.col("low"))).drop("top", "low").withColumn("class", F.col("rep"))
+    found = verified(compared)
+    if not found.isEmpty():
+        links, named = found, components(found)
+        on = on.drop("class").join(named, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+        on = mixed(on)
+    on = cut(on)
     while not on.isEmpty():
         if rounds:
             step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("members") / F.lit(16**rounds)).cast("long"))
@@ -228,23 +253,16 @@ def classes(docs: DataFrame) -> DataFrame:
             known.join(hubs, "band").where((F.col("class") != F.col("hc")) & may_link("n", "odd", "hn", "hodd"))
             .select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b")).distinct()
         )
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        found = cut(
-            pairs.join(bags.select(F.col("rep").alias("a"), F.col("bag").alias("abag")), "a")
-            .join(bags.select(F.col("rep").alias("b"), F.col("bag").alias("bbag")), "b")
-            .select("a", "b", "abag", "bbag").mapInArrow(_verified, "a long, b long")
-        )
+        pairs = cut(pairs.join(compared, ["a", "b"], "left_anti"))
+        compared = compared.unionByName(pairs)
+        found = verified(pairs)
         # members that were compared with all others of their bucket are done; so are buckets of one class
         on = on.where(~F.col("hub")).drop("hub")
         if not found.isEmpty():
             links = found if links is None else cut(links.unionByName(found))
             named = components(links)
             on = on.drop("class").join(named, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-        mixed = on.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
-        on = cut(on.join(mixed.select("band"), "band", "left_semi"))
+        on = cut(mixed(on))
         rounds += 1
     # a copy's class is its representative's; the classes' names are their smallest members
     of = sketches.join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.col("n").alias("n_shingles"))
