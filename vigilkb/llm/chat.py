@@ -153,3 +153,22 @@ def digests(formatted: DataFrame) -> DataFrame:
     """What reading the formatted conversations back gives, one row per conversation."""
     small_batches(formatted.sparkSession)
     return formatted.select("tree", "formatted", "loss_spans").mapInArrow(_digest, DIGEST)
+
+
+#: SQL of the digests of linear conversations, with one that holds the template's own marks.
+ORACLE = rf"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '{END}{START}assistant ok' UNION ALL SELECT -1, 1, 'assistant', '{END}{START}assistant ok'
+), o AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
+        regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS safe,
+        regexp_replace(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), '<(\\*)\|', '<\1\\|', 'g') AS safe_role
+    FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (WHERE role = '{LEARNT}'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = '{LEARNT}'), '')) AS loss_sha256,
+    sum(length('{START}') + length(safe_role) + 1 + length(safe) + length('{END}') + 1)::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id
+"""

@@ -257,3 +257,25 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that name their class, with all their columns; rows without an id stay."""
     others = classes(docs).where("doc_id != class_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(others, docs["doc_id"] == others["__id"], "left_anti")
+
+
+ORACLE = rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT doc_id, list_aggregate(w[i : i + {SHINGLE_WORDS - 1}], 'string_agg', ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE_WORDS - 2}, 2))) AS i FROM words WHERE len(w) > 0)
+), bags AS MATERIALIZED (
+    SELECT doc_id, s, count(*) AS c FROM shingles GROUP BY doc_id, s
+), sizes AS (
+    SELECT doc_id, sum(c) AS n FROM bags GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS common FROM bags a JOIN bags b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE common >= {LEAST} * (x.n + y.n - common) - 1e-9
+), reach(id, r) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION SELECT e.id, l.r FROM reach e JOIN (SELECT a AS k, b AS r FROM links UNION ALL SELECT b, a FROM links) l ON l.k = e.r
+)
+SELECT id AS doc_id, min(r) AS class_id, any_value(coalesce(n, 0))::BIGINT AS n_shingles FROM reach LEFT JOIN sizes ON doc_id = id GROUP BY id
+"""

@@ -4,14 +4,12 @@ Texts are tokenised in Arrow batches, with a bounded memo of the ids of white-sp
 separated words (the vocabulary never joins ids across white space).  A document's ids end
 with ``END_ID``; only documents longer than a sequence are cut.
 
-The packing is bulk-synchronous best-fit.  Pieces are range-sorted by size, so equal sizes
-form runs in which a piece is known by its rank.  One superstep takes the largest size not
-yet placed: its run finds the smallest gaps that still hold it (a successor sweep over the
-sorted gaps), all of them are filled at once, conflicts go by rank - the i-th pieces take
-the i-th gap - and the shrunken gaps return to the sorted list; what finds no gap opens new
-sequences.  Sizes and gaps are at most ``capacity`` different numbers, so a superstep moves
-whole runs and the schedule is as small as that, however many documents there are; the
-pieces then look up their sequence and offset by size and rank.
+The packing is best-fit decreasing on runs of equal sizes.  Pieces are range-sorted by size,
+so a piece is known by its size and rank.  Sizes are taken from the largest down; a run fills
+the smallest gaps that still hold it, the i-th pieces taking the i-th gap, the shrunken gaps return to
+the sorted list, and what finds no gap opens new sequences.  This schedule is made by a loop on
+the driver from a histogram of at most ``capacity`` sizes (see the README: it replaces distributed
+sweeps over tables of sizes and gaps); the pieces then look up their sequence and offset by size and rank.
 
 Cases: a null or empty text is the one id ``END_ID``; repeated rows and ids are packed once
 each; an empty table gives no pieces; other columns are not read.

@@ -127,5 +127,7 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op4_lines": lines.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
+    "op9_neardup": neardup.ORACLE,
+    "op10_chat": chat.ORACLE,
     "op13_codes": grid_codes.ORACLE,
 }
