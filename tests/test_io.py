@@ -16,7 +16,7 @@ from vigilkb.operators.entities import prompt_text, quoted
 from vigilkb.operators.replay import log_of, rebuild
 from vigilkb.plans.kb import graph_of
 from vigilkb.plans.kb import vector_only
-from vigilkb.plans.runs import candidates_of, compare_baselines, prepare, retrieve, revalidation
+from vigilkb.plans.runs import Setup, candidates_of, compare_baselines, detect, prepare, removals_of, retrieve, revalidation
 from vigilkb.sources import event_log as el
 from vigilkb.sources import gold_events as ge
 from vigilkb.sources.snapshots import load_graph, save_graph, snapshot_due, write_run
@@ -199,7 +199,15 @@ def test_shuffled_comparison_and_run_log(spark, story_df, tmp_path):
     assert {r.metric for r in agg.collect()} == set(ev.METRICS)
     write_run(rec, "x", {"base_seed": 42}, str(tmp_path))
     body = json.loads("\n".join(r.value for r in spark.read.option("wholetext", True).text(f"{tmp_path}/run_x_summary").collect()))
-    assert len(body["per_shuffle"]) == 2 and len(body["aggregate"]) == 3
+    assert [r["shuffle_idx"] for r in body["per_shuffle"]] == [0, 1] and [r["seed"] for r in body["per_shuffle"]] == [42, 43]
+    one = body["per_shuffle"][0]["metrics"]["vector-only"]
+    assert one["n_conflict_events"] == 6 and sum(x["total"] for x in one["by_label"].values()) == 6
+    assert set(one["by_label"]) == {"contradiction", "duplicate", "supersedes"} and len(one["temporal_detection"]) == 4
+    assert all(k.startswith("Q") and "_pos_" in k for k in one["temporal_detection"])
+    assert sum(x["n_conflicts"] for x in one["temporal_detection"].values()) == 6
+    over = body["aggregate"]["vector-only"]
+    assert set(over) == {*ev.METRICS, "by_label"} and set(over["by_label"]["duplicate"]) == {"detect_rate_mean", "detect_rate_std"}
+    assert over["detect_rate"]["min"] <= over["detect_rate"]["mean"] <= over["detect_rate"]["max"]
     assert spark.read.json(f"{tmp_path}/run_x").count() == 24
 
 
@@ -222,3 +230,17 @@ def test_monitor_equals_batch(spark, feed, tmp_path, story_df, baseline):
     want = sorted((r.seq, r.rank, r.cand) for r in candidates_of(prepare(story_df).kb, baseline).collect())
     assert m.read(spark, "events").select("batch").distinct().count() == 3
     assert got == want
+
+
+@pytest.mark.parametrize("baseline", ["vector-only"])
+def test_destructive_monitor_equals_batch(spark, feed, tmp_path, story_df, baseline):
+    setup = Setup(policy="recency")
+    m = Monitor(str(tmp_path / "kb"), baseline, setup)
+    q = m.start(ge.stream_gold(spark, feed), str(tmp_path / "c"), once=True)
+    q.awaitTermination(900)
+    assert q.exception() is None
+    calls, _ = detect(prepare(story_df), baseline, setup)
+    key = lambda df: sorted((r.seq, r.label, tuple(r.candidate_docs), tuple(r.implicated_ids)) for r in df.collect())
+    assert key(m.read(spark, "calls")) == key(calls)
+    gone = lambda df: sorted((r.seq, r.tick, r.by) for r in df.collect())
+    assert gone(m.read(spark, "removals")) == gone(removals_of(calls)) and gone(removals_of(calls))

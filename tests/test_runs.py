@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sequential import Base
 from vigilkb.operators.evaluation import audit_summary, summarise
@@ -70,3 +71,22 @@ def test_records_and_summary(prepared):
     s = summarise(rec).first()
     assert s.n_conflict_events == 6 and s.n_clean_events == 6
     assert audit_summary(rec).first().conflicts == 6
+
+
+def test_own_strategy_and_policy(prepared):
+    """A strategy that asks for everything older and a policy that removes the oldest implicated chunk only."""
+    def older(kb, graph):
+        pair = kb.readers.select("seq", "at").join(kb.chunks.select(F.col("seq").alias("cand"), "valid_from", "valid_to"), F.col("valid_from") < F.col("at"))
+        return pair.where("valid_to IS NULL OR valid_to > at").select("seq", "cand", F.lit(1.0).alias("score"), F.col("cand").alias("rank"))
+
+    def oldest(reports):
+        return reports.select("report_id", "seq", F.lit("update").alias("action"), F.slice(F.array_sort("implicated_ids"), 1, 1).alias("remove"))
+
+    calls, chunks = detect(prepared, older, Setup(policy=oldest))
+    got = {r.seq: r.label for r in calls.collect()}
+    assert got[4] == "duplicate" and got[8] == "contradiction"
+    live = {r.seq for r in chunks.where("valid_to IS NULL").collect()}
+    by_name, _ = detect(prepared, "vector-only", Setup(policy="recency"))
+    assert by_name.count() == calls.count() and 1 not in live
+    with pytest.raises(Exception, match="commits every chunk"):
+        detect(prepared, older, Setup(policy=lambda r: oldest(r).withColumn("action", F.lit("skip"))))[0].collect()

@@ -7,9 +7,10 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilkb.operators.evaluation import aggregate, audit, audit_summary, summarise, summarise_labels, temporal_quartiles
+from vigilkb.operators.entities import alias_clusters
+from vigilkb.operators.evaluation import aggregate, aggregate_labels, audit, audit_summary, summarise, summarise_labels, temporal_quartiles
 from vigilkb.operators.reordering import conflict_positions, label_histogram, random_order
-from vigilkb.plans.runs import BASELINES, Setup, compare_baselines
+from vigilkb.plans.runs import BASELINES, Setup, compare_baselines, enrich
 from vigilkb.session import clean_up, cut
 from vigilkb.sources.gold_events import read_gold, read_raw, rewrite
 from vigilkb.sources.snapshots import write_run
@@ -23,6 +24,7 @@ def main() -> None:
     ap.add_argument("--log-dir", help="where to write the records and the summary")
     ap.add_argument("--resolve", action="store_true", help="let the newest chunk replace what it implicates")
     ap.add_argument("--no-audit", action="store_true")
+    ap.add_argument("--aliases", action="store_true", help="show the canonical entities and the surfaces they went by, in the given order of events")
     ap.add_argument("--baselines", nargs="*", default=BASELINES)
     ap.add_argument("--write-orders", help="only write the shuffled event logs to this folder, with their label statistics")
     ap.add_argument("--print-rows", type=int, default=1000,
@@ -58,6 +60,10 @@ def main() -> None:
     show(summarise_labels(records), "baseline", "expected_label")
     show(temporal_quartiles(records), "baseline", "quartile")
     show(aggregate(summarise(records, ["shuffle_idx"])), "metric", "baseline")
+    show(aggregate_labels(summarise_labels(records, ["shuffle_idx"])), "baseline", "expected_label")
+    if args.aliases:
+        _, resolution, entities = enrich(events, setup)
+        show(alias_clusters(resolution, entities), "canonical_id")
     if args.log_dir:
         audit(records).write.mode("overwrite").json(f"{args.log_dir}/{run_id}_audit")
         meta = {"run_id": run_id, "input": args.input, "shuffles": args.shuffles, "base_seed": args.seed, "policy": setup.policy}

@@ -136,6 +136,33 @@ def aggregate_labels(by_label: DataFrame) -> DataFrame:
     return by_label.groupBy("baseline", "expected_label").agg(*_spread(F.col("rate"))[:2])
 
 
+def nested_summary(records: DataFrame, by: list[str]) -> DataFrame:
+    """One row per run (``by``): metrics as MAP<baseline, STRUCT<..., by_label, temporal_detection>>."""
+    keys = [*by, "baseline"]
+    flat = summarise(records, by)
+    entry = lambda name, cols: F.map_from_entries(F.array_sort(F.collect_list(F.struct(name.alias("key"), F.struct(*cols).alias("value")))))
+    labels = summarise_labels(records, by).groupBy(*keys).agg(entry(F.col("expected_label"), ["total", "detected", "rate"]).alias("by_label"))
+    quarter = F.concat(F.lit("Q"), "quartile", F.lit("_pos_"), "lo", F.lit("-"), "hi")
+    temporal = temporal_quartiles(records, by).groupBy(*keys).agg(entry(quarter, ["n_conflicts", "detected", "rate"]).alias("temporal_detection"))
+    joined = flat
+    for part, name in ((labels, "by_label"), (temporal, "temporal_detection")):
+        renamed = part.select(*[F.col(k).alias(f"__{k}") for k in keys], name)
+        joined = joined.join(renamed, [joined[k].eqNullSafe(renamed[f"__{k}"]) for k in keys], "left").drop(*[f"__{k}" for k in keys])
+        empty = F.create_map().cast(part.schema[name].dataType)
+        joined = joined.withColumn(name, F.coalesce(name, empty))
+    values = [c for c in joined.columns if c not in keys]
+    return joined.groupBy(*by).agg(entry(F.col("baseline"), values).alias("metrics"))
+
+
+def nested_aggregate(records: DataFrame, by: list[str]) -> DataFrame:
+    """(baseline, metrics, by_label) over runs: MAP<metric, STRUCT<mean, std, min, max>> and the labels' detection rates."""
+    entry = lambda name, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(name.alias("key"), value.alias("value")))))
+    scalar = aggregate(summarise(records, by)).groupBy("baseline").agg(entry(F.col("metric"), F.struct("mean", "std", "min", "max")).alias("metrics"))
+    rates = F.struct(F.col("mean").alias("detect_rate_mean"), F.col("std").alias("detect_rate_std"))
+    labels = aggregate_labels(summarise_labels(records, by)).groupBy("baseline").agg(entry(F.col("expected_label"), rates).alias("by_label"))
+    return scalar.join(labels, "baseline", "left")
+
+
 def audit(records: DataFrame) -> DataFrame:
     """Display rows: OK when a conflict was detected through an implicated document, or a
     clean event stayed clean."""

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilkb.config import DISCOVERY
 
+#: A resolution policy: reports -> decisions (report_id, seq, action, remove).
+Policy = Callable[[DataFrame], DataFrame]
+
 # Verdict labels.
 LABELS = ["clean", "duplicate", "contradiction", "supersedes", "needs_human"]
 
@@ -73,13 +78,19 @@ def reports_of(calls: DataFrame) -> DataFrame:
     return calls.where("label <> 'clean'").withColumn("report_id", F.concat(F.lit("report-"), F.col("seq").cast("string")))
 
 
-def decide(reports: DataFrame, policy: str, decided: DataFrame | None = None) -> DataFrame:
+def decide(reports: DataFrame, policy: str | Policy, decided: DataFrame | None = None) -> DataFrame:
     """Decisions (report_id, seq, action, remove).
 
     recency: the newest chunk replaces everything implicated, whatever the label.
     insert_only: commit, remove nothing.
     human: only what ``decided`` (report_id, action, remove) answers; see ``pending``.
+    A function of the reports decides by itself; it commits every chunk (insert or update).
     """
+    if callable(policy):
+        action = F.col("action")
+        checked = F.when(action.isin("insert", "update"), action).otherwise(
+            F.raise_error(F.concat(F.lit("a policy of a run commits every chunk, not "), action)).cast("string"))
+        return policy(reports).select("report_id", "seq", checked.alias("action"), "remove")
     if policy == "recency":
         return reports.select("report_id", "seq", F.lit("update").alias("action"), F.col("implicated_ids").alias("remove"))
     if policy == "insert_only":

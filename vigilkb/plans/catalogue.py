@@ -272,6 +272,15 @@ def resolution_log(spark, sf):
         "event", "type", "band", "n")
 
 
+@query
+def node_attributes_at(spark, sf):
+    """What each matched mention finds on its entity's node: name, type and the aliases so far."""
+    res, ents = er.canonical_fold(_mentions(spark, sf), FOLD_HIGH, FOLD_LOW)
+    asks = res.where("matched IS NOT NULL").select(F.col("matched").alias("canonical_id"), F.col("seq").alias("at"))
+    return er.attributes_at(asks, res, ents).select(
+        F.col("at").alias("seq"), "canonical_id", "name", "type", "first_seq", F.array_join("aliases", "|").alias("aliases"))
+
+
 def _repeated_mentions(spark, sf):
     """Three mentions per chunk; the last fifth of the vectors are mentioned under the signatures of the first ones."""
     e = table(spark, sf, "embeddings").where("vec_id IS NOT NULL")

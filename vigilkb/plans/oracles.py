@@ -360,6 +360,11 @@ sql("resolution_log", PAIRS, FOLD, recursive=True, body="""
 SELECT CASE WHEN matched IS NULL THEN 'entity_create' ELSE 'entity_merge' END AS event, type, band, count(*) AS n
 FROM res GROUP BY ALL""")
 
+sql("node_attributes_at", PAIRS, FOLD, recursive=True, body="""
+SELECT r.seq, e.canonical_id, 'Name ' || (e.id - 1) AS name, e.type, e.id AS first_seq,
+       string_agg('Name ' || a.vec_id, '|' ORDER BY 'Name ' || a.vec_id) AS aliases
+FROM res r JOIN ents e ON e.canonical_id = r.matched JOIN res a ON a.canonical_id = r.matched AND a.seq < r.seq
+GROUP BY r.seq, e.canonical_id, e.id, e.type""")
 # one chunk of up to three mentions after another; the state is the list of signatures that have minted
 ADJUDICATED = """
 n AS (SELECT count(*) * 4 // 5 AS n FROM embeddings),
@@ -449,7 +454,7 @@ sql("entity_cluster_sizes", CHUNKS, body="""
 SELECT 'ent:' || entity AS node_id, entity AS key, count(*) FILTER (WHERE valid_to IS NULL) AS active_chunk_count
 FROM chunks GROUP BY entity""")
 sql("chunk_components", *G, """
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT DISTINCT substr(e.src, 7)::BIGINT AS a, substr(e.dst, 7)::BIGINT AS b FROM edges e
   WHERE e.tier = 'semantic' AND e.valid_to IS NULL),
 reach(id, r) AS (

@@ -25,7 +25,7 @@ from vigilkb.operators import lifecycle as lc
 from vigilkb.operators.adjudication import Adjudicator, adjudicated_fold
 from vigilkb.operators.entities import canonical_fold, route
 from vigilkb.operators.graph import live_successors
-from vigilkb.operators.judging import decide, oracle_judge, reports_of
+from vigilkb.operators.judging import Policy, decide, oracle_judge, reports_of
 from vigilkb.operators.knn import as_corpus, knn_join, vector_candidates
 from vigilkb.operators.ordering import FOREVER, number_rows, span_for
 from vigilkb.operators.reordering import shuffles
@@ -42,7 +42,7 @@ class Setup:
     """Extension points of a run.
 
     ``extract``: text column -> ARRAY<STRUCT<type, surface, context>>; ``embed``: (df,
-    key, text) -> df with ``vec``; ``judge``: (candidates, chunks, gold) -> calls;
+    key, text) -> df with ``vec``; ``policy``: a name or a function of the reports (see ``decide``); ``judge``: (candidates, chunks, gold) -> calls;
     ``adjudicator``: asks -> verdicts (see ``operators.adjudication``), without one gray mentions mint;
     ``vocabulary``: topic slug -> patterns, without one the built-in one.
     """
@@ -53,7 +53,7 @@ class Setup:
     adjudicator: Adjudicator | None = None
     vocabulary: dict[str, list[str]] | None = None
     controlled_topics: bool = True
-    policy: str = "insert_only"
+    policy: str | Policy = "insert_only"
     tau_high: float = DISCOVERY.tau_high
     tau_low: float = DISCOVERY.tau_low
 
@@ -130,15 +130,24 @@ def _graph(kb: KB, destructive: bool, asserted: DataFrame | None, decisions: Dat
     return graph_of(kb, asserted=asserted, decisions=decisions, found=found, frozen=frozen)
 
 
-def candidates_of(kb: KB, baseline: str, *, destructive: bool = False, asserted: DataFrame | None = None,
-                  decisions: DataFrame | None = None) -> DataFrame:
-    """(seq, cand, score, rank) of one discovery strategy."""
-    if baseline == "vector-only":
-        return vector_only(kb)
-    if baseline == "metadata-only":
-        return metadata_only(kb)
-    g = _graph(kb, destructive, asserted, decisions)
-    return graph_only(kb, g) if baseline == "graph-only" else hybrid(kb, g)
+#: A discovery strategy: (the knowledge base with the readers that ask, its graph when called for) -> (seq, cand, score, rank).
+Strategy = Callable[[KB, Callable[[], Graph]], DataFrame]
+
+STRATEGIES: dict[str, Strategy] = {
+    "vector-only": lambda kb, graph: vector_only(kb),
+    "metadata-only": lambda kb, graph: metadata_only(kb),
+    "graph-only": lambda kb, graph: graph_only(kb, graph()),
+    "hybrid": lambda kb, graph: hybrid(kb, graph()),
+}
+
+
+def candidates_of(kb: KB, baseline: str | Strategy, *, destructive: bool = False, asserted: DataFrame | None = None,
+                  decisions: DataFrame | None = None, since: int = 0) -> DataFrame:
+    """(seq, cand, score, rank) of one discovery strategy, by name or the strategy itself, for the readers from ``since`` on."""
+    asked = kb if since == 0 else replace(kb, readers=cut(kb.readers.where(F.col("seq") >= since)))
+    strategy = STRATEGIES[baseline] if isinstance(baseline, str) else baseline
+    # the graph holds the neighbours that every earlier commit froze
+    return strategy(asked, lambda: _graph(kb, destructive, asserted, decisions))
 
 
 def _mark(removed: DataFrame) -> tuple:
@@ -146,36 +155,51 @@ def _mark(removed: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
-def detect(p: Prepared, baseline: str, setup: Setup = Setup()) -> tuple[DataFrame, DataFrame]:
-    """(calls, chunks as finally stamped)."""
-    gold = p.events.where("op <> 'delete'").select("seq", "doc_id", "expected_label", "implicates")
+def detect(p: Prepared, baseline: str, setup: Setup = Setup(), *, since: int = 0,
+           earlier: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(calls, chunks as finally stamped).
+
+    ``since`` asks only for the events from there on; ``earlier`` (seq, tick, by) are the removals
+    that the calls before them made.
+    """
+    gold = p.events.where((F.col("op") != "delete") & (F.col("seq") >= since)).select("seq", "doc_id", "expected_label", "implicates")
     if setup.policy == "insert_only":
-        return cut(setup.judge(candidates_of(p.kb, baseline), p.kb.chunks, gold)), p.kb.chunks
-    if setup.policy != "recency":
-        raise ValueError("a run resolves by insert_only or recency; see decide() for the human queue")
-    base, kb, asserted, decisions, before = p.kb, p.kb, None, None, None
+        return cut(setup.judge(candidates_of(p.kb, baseline, since=since), p.kb.chunks, gold)), p.kb.chunks
+    if setup.policy == "human":
+        raise ValueError("a run does not wait for people; see decide() for the human queue")
+    base, before, removals = p.kb, None, earlier
     # every round settles one more event at least
-    for _ in range(p.events.count() + 2):
-        calls = cut(setup.judge(candidates_of(kb, baseline, destructive=True, asserted=asserted, decisions=decisions), kb.chunks, gold))
-        made = decide(reports_of(calls), "recency")
-        gone = made.select(F.explode("remove").alias("seq"), (F.col("seq") * 2 + 1).alias("tick"), F.col("seq").alias("by"))
-        removed = cut(gone.groupBy("seq").agg(F.min("tick").alias("gone")))
-        after = _mark(removed)
+    for _ in range(p.events.where(F.col("seq") >= since).count() + 2):
+        kb, asserted, decisions = _after(base, removals)
+        calls = cut(setup.judge(candidates_of(kb, baseline, destructive=True, asserted=asserted, decisions=decisions, since=since), kb.chunks, gold))
+        made = removals_of(calls, setup.policy)
+        removals = cut(made if earlier is None else earlier.unionByName(made))
+        after = _mark(removals.groupBy("seq").agg(F.min("tick").alias("gone")))
         if after == before:
             return calls, kb.chunks
         before = after
+    raise RuntimeError("removals did not settle")
 
-        def stamp(d: DataFrame) -> DataFrame:
-            return cut(d.join(removed, "seq", "left").withColumn("valid_to", F.least("valid_to", "gone")).drop("gone"))
 
-        kb = replace(base, chunks=stamp(base.chunks))
-        ends = kb.chunks.select(F.col("seq").alias("by"), F.col("valid_to").alias("n_to"))
-        asserted = cut(gone.join(ends, "by").select(
-            node_id("chunk", F.col("by").cast("string")).alias("src"), node_id("chunk", F.col("seq").cast("string")).alias("dst"),
-            F.lit("supersedes_content").alias("relation"), F.lit(1.0).alias("confidence"),
-            F.col("tick").alias("valid_from"), F.col("n_to").alias("valid_to")))
-        decisions = made.select("report_id", (F.col("seq") * 2 + 1).alias("valid_from"))
-    raise RuntimeError("removals did not settle")
+def removals_of(calls: DataFrame, policy: str | Policy = "recency") -> DataFrame:
+    """(seq, tick, by): the chunks that the policy removes for flagged calls, just after them."""
+    made = decide(reports_of(calls), policy)
+    return made.select(F.explode("remove").alias("seq"), (F.col("seq") * 2 + 1).alias("tick"), F.col("seq").alias("by"))
+
+
+def _after(base: KB, removals: DataFrame | None) -> tuple[KB, DataFrame | None, DataFrame | None]:
+    """The tables with ``removals`` stamped into them, the edges they assert and the decisions behind them."""
+    if removals is None:
+        return base, None, None
+    first = removals.groupBy("seq").agg(F.min("tick").alias("gone"))
+    chunks = cut(base.chunks.join(first, "seq", "left").withColumn("valid_to", F.least("valid_to", "gone")).drop("gone"))
+    ends = chunks.select(F.col("seq").alias("by"), F.col("valid_to").alias("n_to"))
+    asserted = cut(removals.join(ends, "by").select(
+        node_id("chunk", F.col("by").cast("string")).alias("src"), node_id("chunk", F.col("seq").cast("string")).alias("dst"),
+        F.lit("supersedes_content").alias("relation"), F.lit(1.0).alias("confidence"),
+        F.col("tick").alias("valid_from"), F.col("n_to").alias("valid_to")))
+    decisions = removals.select(F.concat(F.lit("report-"), F.col("by").cast("string")).alias("report_id"), F.col("tick").alias("valid_from")).distinct()
+    return replace(base, chunks=chunks), asserted, decisions
 
 
 def run(p: Prepared, baseline: str, setup: Setup = Setup(), *, run_id: str = "run", shuffle_idx: int = -1,

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilkb.config import DISCOVERY
-from vigilkb.operators.evaluation import aggregate, summarise
+from vigilkb.operators.evaluation import nested_aggregate, nested_summary
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str, seq: int) -> None:
@@ -27,18 +27,22 @@ def snapshot_due(before: int, after: int, every: int = DISCOVERY.checkpoint_ever
 
 
 def write_run(records: DataFrame, run_id: str, meta: dict, path: str) -> None:
-    """Raw records as JSON lines plus one summary document."""
+    """Raw records as JSON lines plus one summary document: per run and baseline the metrics, their
+    breakdown by label and by position, and their spread over the runs."""
     records.write.mode("overwrite").json(f"{path}/run_{run_id}")
-    per = summarise(records, ["shuffle_idx", "seed"])
-    # one small row per (run, baseline)
-    runs = per.select("shuffle_idx", "seed", F.struct(*[c for c in per.columns if c not in ("shuffle_idx", "seed")]).alias("metrics"))
-    nested = runs.groupBy("shuffle_idx", "seed").agg(F.collect_list("metrics").alias("metrics"))
+    # one row per run, and one per baseline
+    runs = nested_summary(records, ["shuffle_idx", "seed"]).orderBy("shuffle_idx").collect()
+    spread = nested_aggregate(records, ["shuffle_idx", "seed"]).orderBy("baseline").collect()
     body = {
         "meta": meta,
-        "per_shuffle": [r.asDict(recursive=True) for r in nested.orderBy("shuffle_idx").collect()],
-        "aggregate": [r.asDict() for r in aggregate(per).orderBy("baseline", "metric").collect()],
+        "per_shuffle": [r.asDict(recursive=True) for r in runs],
+        "aggregate": {r["baseline"]: {**_plain(r["metrics"]), "by_label": _plain(r["by_label"] or {})} for r in spread},
     }
     text = json.dumps(body, ensure_ascii=False, indent=2)
     records.sparkSession.createDataFrame([(text,)], "value string").write.mode("overwrite").text(
         f"{path}/run_{run_id}_summary"
     )
+
+
+def _plain(rows: dict) -> dict:
+    return {name: row.asDict() for name, row in rows.items()}

@@ -5,6 +5,9 @@ its events one at a time would ask: readers come from the batch, the stamped tab
 the history and the batch itself.  Extraction, embedding and resolution run once per
 event; their results, the nearest neighbours and the new entities are kept as tables
 partitioned by batch.  A batch that is retried overwrites its own partitions.
+
+Under a destructive policy the removals of earlier batches are a table that the next batch reads;
+inside a batch they are settled as in a whole run, which leaves the same calls and removals.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vigilkb.config import DISCOVERY
 from vigilkb.operators.knn import vector_candidates
 from vigilkb.plans.kb import graph_of, graph_only, hybrid, metadata_only
-from vigilkb.plans.runs import Setup, assemble, enrich
+from vigilkb.plans.runs import Prepared, Setup, assemble, detect, enrich, removals_of
 from vigilkb.session import cut
 
 
@@ -25,8 +28,8 @@ class Monitor:
     """One strategy over one knowledge base kept under ``home`` (a shared folder)."""
 
     def __init__(self, home: str, baseline: str = "hybrid", setup: Setup = Setup()) -> None:
-        if setup.policy != "insert_only":
-            raise ValueError("the stream commits every arrival; resolve destructively with plans.runs")
+        if setup.policy == "human":
+            raise ValueError("the stream does not wait for people")
         self.home, self.baseline, self.setup = home, baseline, setup
 
     def _put(self, df: DataFrame, table: str, batch: int) -> DataFrame:
@@ -62,6 +65,14 @@ class Monitor:
         every_row = self._upto(spark, "rows", batch, rows.schema).unionByName(rows)
         every_event = past.unionByName(new)
         kb = assemble(every_event, every_row)
+        if self.setup.policy != "insert_only":
+            # what earlier batches removed is final; only this batch's verdicts are still open
+            first = T.StructType([T.StructField(c, T.LongType()) for c in ("seq", "tick", "by")])
+            earlier = cut(self._upto(spark, "removals", batch, first))
+            calls, _ = detect(Prepared(every_event, kb, entities, entities), self.baseline, self.setup, since=edge, earlier=earlier)
+            calls = self._put(calls, "calls", batch)
+            self._put(removals_of(calls, self.setup.policy), "removals", batch)
+            return
         asked = replace(kb, readers=cut(kb.readers.where(F.col("seq") >= edge)))
         found = vector_candidates(asked.readers, kb.chunks, max(DISCOVERY.vector_k, DISCOVERY.freeze_k))
         found = self._put(found, "found", batch)
