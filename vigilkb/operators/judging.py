@@ -87,10 +87,10 @@ def decide(reports: DataFrame, policy: str | Policy, decided: DataFrame | None =
     A function of the reports decides by itself; it commits every chunk (insert or update).
     """
     if callable(policy):
-        action = F.col("action")
-        checked = F.when(action.isin("insert", "update"), action).otherwise(
-            F.raise_error(F.concat(F.lit("a policy of a run commits every chunk, not "), action)).cast("string"))
-        return policy(reports).select("report_id", "seq", checked.alias("action"), "remove")
+        commits = F.col("action").isin("insert", "update")
+        refused = F.raise_error(F.concat(F.lit("a policy of a run commits every chunk, not "), "action"))
+        # what is removed depends on the check, so that it is made wherever the decision is used
+        return policy(reports).select("report_id", "seq", "action", F.when(commits, F.col("remove")).otherwise(refused.cast("array<bigint>")).alias("remove"))
     if policy == "recency":
         return reports.select("report_id", "seq", F.lit("update").alias("action"), F.col("implicated_ids").alias("remove"))
     if policy == "insert_only":
