@@ -151,7 +151,9 @@ def nested_summary(records: DataFrame, by: list[str]) -> DataFrame:
         empty = F.create_map().cast(part.schema[name].dataType)
         joined = joined.withColumn(name, F.coalesce(name, empty))
     values = [c for c in joined.columns if c not in keys]
-    return joined.groupBy(*by).agg(entry(F.col("baseline"), values).alias("metrics"))
+    # entries with maps in them have no order
+    each = F.struct(F.col("baseline").alias("key"), F.struct(*values).alias("value"))
+    return joined.groupBy(*by).agg(F.map_from_entries(F.collect_list(each)).alias("metrics"))
 
 
 def nested_aggregate(records: DataFrame, by: list[str]) -> DataFrame:
