@@ -12,7 +12,7 @@ from vigilkb.operators import entities as er
 from vigilkb.operators import graph as gr
 from vigilkb.operators import reordering as ro
 from vigilkb.operators.facets import facet_weights, metadata_candidates
-from vigilkb.operators.knn import knn_join
+from vigilkb.operators.knn import _blocked, _pack, knn_join
 from vigilkb.operators.ordering import FOREVER, as_of_last, first_k_live, number_rows, running, stab
 from vigilkb.operators import pagerank
 from vigilkb.operators.pagerank import power_iterate, ranked_walks
@@ -91,6 +91,31 @@ def test_knn_join(spark, block_rows, pivots, spread):
         assert got.get(r[0], []) == [c for _, c in best]
 
 
+def test_knn_blocks_meet_without_a_shuffle(spark):
+    """Vectors of short lives among some that never end: a query block meets what is alive, and no block is moved to do so."""
+    n, rows, short = 1600, 16, 40
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(n, 3))
+    born = [(i, i, None if i % 400 == 0 else i + short, [float(x) for x in v[i]]) for i in range(1, n)]
+    df = spark.createDataFrame(born, LIVES + ", vec array<double>")
+    found = knn_join(df.select("id", F.col("id").alias("at"), "vec"), df, 3, block_rows=rows, max_pivots=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "HashJoin" not in plan
+    got = defaultdict(list)
+    for r in found.orderBy("qid", "rank").collect():
+        got[r.qid].append(r.cid)
+    s = np.round(v @ v.T, 6)
+    for i, *_ in born:
+        live = [j for j, b, d, _ in born if b < i and (d is None or d > i)]
+        assert got[i] == sorted(live, key=lambda j: (-s[i, j], j))[:3]
+    side = df.select("id", F.lit("").alias("grp"), F.lit(0).alias("pivot"), F.col("valid_from").alias("born"),
+                     F.coalesce("valid_to", F.lit(FOREVER)).alias("dies"), "vec")
+    spans = _pack(_blocked(side, n, n, 1, rows)).select("lo", "hi").collect()
+    asked = [(t, t + rows) for t in range(1, n, rows)]
+    met = [sum(b.lo < hi and b.hi > lo for b in spans) for lo, hi in asked]
+    assert max(met) <= 16  # of about 100 blocks
+
+
 def test_knn_groups_and_floor(spark):
     v = [(1, "a", [1.0, 0.0]), (2, "b", [1.0, 0.0]), (3, "a", [0.0, 1.0]), (4, "a", [1.0, 0.1])]
     df = spark.createDataFrame(v, "id long, grp string, vec array<float>")
