@@ -1,6 +1,7 @@
 """Operators against brute force on small random inputs, with the physical knobs turned
 so that every execution path is taken."""
 
+import hashlib
 import math
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vigilkb.functions.vectors import embed_texts
 from vigilkb.operators import entities as er
 from vigilkb.operators import graph as gr
 from vigilkb.operators import reordering as ro
@@ -116,6 +118,19 @@ def test_knn_blocks_meet_without_a_shuffle(spark):
     assert max(met) <= 16  # of about 100 blocks
 
 
+def test_embedding_counts_once_per_text(spark):
+    """Counts by hash bucket, texts of one key together; tokens are counted before the shuffle and the norm is bound once."""
+    texts = [(1, "Fee, fee  FEE 50"), (2, ""), (3, None), (4, "a b"), (4, "b c"), (5, "\u212a-\u00e9x 7")]
+    df = spark.createDataFrame(texts, "id long, t string")
+    found = embed_texts(df, "id", "t")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("aggregate(zip_with") <= 1
+    tokens = {1: ["fee"] * 3 + ["50"], 2: [], 3: [], 4: ["a", "b", "b", "c"], 5: ["k", "x", "7"]}
+    for r in found.collect():
+        raw = np.bincount([int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % 64 for t in tokens[r.id]], minlength=64).astype(float)
+        assert r.vec == pytest.approx(list(raw / (np.sqrt((raw**2).sum()) or 1.0)), abs=1e-15)
+
+
 def test_knn_groups_and_floor(spark):
     v = [(1, "a", [1.0, 0.0]), (2, "b", [1.0, 0.0]), (3, "a", [0.0, 1.0]), (4, "a", [1.0, 0.1])]
     df = spark.createDataFrame(v, "id long, grp string, vec array<float>")

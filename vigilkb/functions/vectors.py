@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -16,31 +22,57 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """L2-normalised copy; a zero vector stays zero."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(
-        F.transform(v, lambda x: x.cast("double"))
-    )
+    # one-element array: the norm is bound once, not summed up again for every component
+    return F.transform(
+        F.array(F.sqrt(dot(v, v))),
+        lambda norm: F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double"))),
+    )[0]
+
+
+class _Slots(dict):
+    """Bucket of each token met so far."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= 1 << 20:
+            self.clear()
+        self[token] = slot = int(hashlib.md5(token.encode()).hexdigest()[:4], 16) % self.dim
+        return slot
+
+
+def _counted(dim: int):
+    """(key, lower-cased text) -> (key, number of tokens in each bucket)."""
+    tokens = re.compile("[a-z0-9]+")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = _Slots(dim)
+        for b in batches:
+            n = np.zeros((b.num_rows, dim), np.int64)
+            for i, text in enumerate(b.column(1)):
+                found = tokens.findall(text.as_py() or "")
+                if found:
+                    n[i] = np.bincount([slots[t] for t in found], minlength=dim)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dim, pa.int32()), pa.array(n.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[b.schema.names[0], "n"])
+
+    return count
 
 
 def embed_texts(df: DataFrame, key: str, text: str, dim: int = 64, out: str = "vec") -> DataFrame:
     """Deterministic offline embedding: token counts hashed into ``dim`` buckets.
 
-    Stands in for a hosted embedding model.  A text of any length is reduced by a
-    partial aggregation over its tokens, never held as one exploded list.
+    Stands in for a hosted embedding model.  Every text is counted where it is read, and
+    only the counts are shuffled; texts of one key count together.
     """
-    tokens = df.select(
-        key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z0-9]+)"), F.lit(1))).alias("tok")
-    )
-    slot = F.conv(F.substring(F.md5("tok"), 1, 4), 16, 10).cast("int") % dim
-    counts = tokens.groupBy(key, slot.alias("slot")).agg(F.count("*").alias("n"))
-    maps = counts.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", F.col("n").cast("double")))).alias("m")
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))
-    )
-    filled = df.join(maps, key, "left").withColumn(
-        "__raw",
-        F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(dense),
+    texts = df.select(key, F.lower(F.col(text)).alias("text"))
+    shape = T.StructType([texts.schema[key], T.StructField("n", T.ArrayType(T.LongType()))])
+    counts = texts.mapInArrow(_counted(dim), shape).groupBy(key).agg(F.collect_list("n").alias("all"))
+    total = F.aggregate(
+        F.slice("all", 2, F.size("all")), F.col("all")[0], lambda s, n: F.zip_with(s, n, lambda x, y: x + y)
     )
-    return filled.withColumn(out, unit(F.col("__raw"))).drop("m", "__raw")
+    sums = counts.select(key, F.transform(total, lambda x: x.cast("double")).alias("__n"))
+    filled = df.join(sums, key, "left").withColumn("__raw", F.coalesce("__n", F.array_repeat(F.lit(0.0), dim)))
+    return filled.withColumn(out, unit(F.col("__raw"))).drop("__n", "__raw")
