@@ -4,6 +4,7 @@ so that every execution path is taken."""
 import hashlib
 import math
 from collections import defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from vigilkb.functions.vectors import embed_texts
 from vigilkb.operators import entities as er
 from vigilkb.operators import graph as gr
+from vigilkb.operators import knn
 from vigilkb.operators import reordering as ro
 from vigilkb.operators.facets import facet_weights, metadata_candidates
 from vigilkb.operators.knn import _blocked, _pack, knn_join
@@ -118,6 +120,28 @@ def test_knn_blocks_meet_without_a_shuffle(spark):
     assert max(met) <= 16  # of about 100 blocks
 
 
+def test_knn_best_leave_their_task_once(spark, monkeypatch):
+    """However many parts a corpus has, no query has more than its k best shuffled."""
+    monkeypatch.setattr(knn, "PHYSICAL", replace(knn.PHYSICAL, corpus_bytes=1 << 8))
+    n, k, sent, score = 600, 3, spark.sparkContext.accumulator(0), knn._score
+
+    def counted(*args, **kw):
+        kernel = score(*args, **kw)
+
+        def counting(batches):
+            for b in kernel(batches):
+                sent.add(b.num_rows)
+                yield b
+
+        return counting
+
+    monkeypatch.setattr(knn, "_score", counted)
+    v = np.random.default_rng(6).normal(size=(n, 3))
+    df = spark.createDataFrame([(i, i, None, [float(x) for x in v[i]]) for i in range(n)], LIVES + ", vec array<double>")
+    found = knn_join(df.select("id", F.col("id").alias("at"), "vec"), df, k, block_rows=16, max_pivots=1).collect()
+    assert len(found) == sent.value == sum(min(k, i) for i in range(n))
+
+
 def test_embedding_counts_once_per_text(spark):
     """Counts by hash bucket, texts of one key together; tokens are counted before the shuffle and the norm is bound once."""
     texts = [(1, "Fee, fee  FEE 50"), (2, ""), (3, None), (4, "a b"), (4, "b c"), (5, "\u212a-\u00e9x 7")]
