@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import brute
 import corpus_pipeline
@@ -220,6 +221,46 @@ def test_no_link_is_excluded_before_the_comparison(spark):
     assert {i for i, t in enumerate(truth) if t} <= may and len(may) < len(pairs)
 
 
+def test_parities_tell_repeats_apart(spark):
+    """Shingles that one of two documents has twice, and the other not at all, count as two; equal ones in any order as none."""
+    base = list(range(100))
+    twice = [base + 2 * list(range(200, 210)), base + 2 * list(range(300, 310)), (base + 2 * list(range(200, 210)))[::-1]]
+    a, b, c = (neardup.parities(neardup.mix(np.array(v, np.uint64)), np.array([0, len(v)]))[0].tolist() for v in twice)
+    df = spark.createDataFrame([(0, 120, a, 120, b), (1, 120, a, 120, c)], "i long, n long, odd array<long>, hn long, hodd array<long>")
+    assert [r.i for r in df.where(neardup.may_link("n", "odd", "hn", "hodd")).collect()] == [1] and a == c
+
+
+def test_near_pairs_are_compared_once(spark, monkeypatch):
+    """Near copies of a text, most of them below 0.8 to each other, share many bands; no pair is compared twice."""
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{rng.integers(0, 10**6)}"
+    base, docs = [word() for _ in range(150)], []
+    for i in range(120):
+        text = list(base)
+        for j in rng.choice(150, rng.integers(1, 6), replace=False):
+            text[j] = word()
+        docs.append((i, " ".join(text)))
+    seen, cut = [], neardup.cut
+
+    def told(df):
+        out = cut(df)
+        if "hshared" in df._jdf.queryExecution().analyzed().toString() and df.columns == ["a", "b"]:
+            seen.extend(map(tuple, out.collect()))
+        return out
+
+    monkeypatch.setattr(neardup, "cut", told)
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert seen and len(seen) == len(set(seen))
+    bags = [Counter(tuple(t.split()[i : i + 5]) for i in range(146)) for _, t in docs]
+    want = list(range(len(docs)))
+    for i, x in enumerate(bags):
+        for j in range(i):
+            both = (x & bags[j]).total()
+            if both >= 0.8 * (292 - both) - 1e-9 and want[i] != want[j]:
+                want = [min(want[i], want[j]) if c in (want[i], want[j]) else c for c in want]
+    assert got == dict(enumerate(want))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(300, 301), (301, 302), (300, 302)]
     got = {r.rep: r["class"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -18,15 +18,16 @@ into ``BANDS`` bands of ``ROWS``; representatives with an equal band share a buc
 similarity 0.8 a pair has no common band with a chance of 5e-8.  No bucket is expanded into
 all pairs.  First its most connected member (the one whose buckets are largest: the text that
 near copies were made from shares a bucket with all of them) and its smallest one are compared
-with the others; in a later round r about 16^r members, spread by hash, with those that are
-not in their class yet.  A bucket is done when it has one class or all its members were
+with the others; in a later round r about 64^r members, spread by hash, with those that are
+not in their class yet.  A pair that has several bands in common is left to the smallest of
+them, so it is compared once.  A bucket is done when it has one class or all its members were
 compared, so buckets of near copies end after the first round, and no pair of different
 classes stays uncompared.
 
-Exact test before a comparison: the shingles are dealt into ``CELLS`` cells, and of each cell
-the parity of its count is kept.  A shingle that only one of two documents has changes one
-parity, so the number of cells with unequal parities is at most the size of the symmetric
-difference, and a pair where it is more than a link allows is none.
+Exact test before a comparison: the shingles, each repeat as one of its own, are dealt into
+``CELLS`` cells, and of each cell the parity of its count is kept.  A shingle that only one of
+two documents has changes one parity, so the number of cells with unequal parities is at most
+the size of the symmetric difference, and a pair where it is more than a link allows is none.
 
 Words are runs other than ASCII white space.  Cases: documents without words have a class
 each; a null doc_id is not looked at; rows with equal doc_id are one document; other columns
@@ -49,7 +50,7 @@ from vigilkb.session import cut
 SHINGLE_WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 32, 4
 SIGNATURE = BANDS * ROWS
-CELLS = 512
+CELLS = 1024
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _U = np.uint64
@@ -114,7 +115,15 @@ def signatures(h: np.ndarray, where: np.ndarray) -> np.ndarray:
 def parities(h: np.ndarray, where: np.ndarray) -> np.ndarray:
     """For each text the parities of its cells, as bits of ``CELLS / 64`` integers."""
     n = len(where) - 1
-    cell = np.repeat(np.arange(n), np.diff(where)) * CELLS + (h % _U(CELLS)).astype(np.int64)
+    text = np.repeat(np.arange(n), np.diff(where))
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    # the second, third ... time that a text has a shingle
+    again = np.concatenate([[False], (h[1:] == h[:-1]) & (text[1:] == text[:-1])])[: len(h)]
+    place = np.arange(len(h))
+    nth = place - np.maximum.accumulate(np.where(again, 0, place))
+    h = np.where(again, mix(h + nth.astype(_U) * _U(0x9E3779B97F4A7C15)), h)
+    cell = text * CELLS + (h % _U(CELLS)).astype(np.int64)
     odd = (np.bincount(cell, minlength=n * CELLS) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64).reshape(n, CELLS // 64)
 
@@ -181,20 +190,20 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(rep, class) of every end of the links (a, b): rounds of large and small stars."""
+    """(rep, class) of every end of the links (a, b): rounds of large and small stars, until only stars are left."""
     edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    state = None
+    ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(0).alias("end")), F.struct(F.col("b").alias("id"), F.lit(1).alias("end")))).alias("e")
     while True:
+        # in a star, whatever is the larger end of an edge has no other edge
+        seen = edges.select(ends).groupBy("e.id").agg(F.max("e.end").alias("end"), F.count("*").alias("edges"))
+        if seen.where("end = 1 AND edges > 1").isEmpty():
+            return edges.select(F.col("b").alias("rep"), F.col("a").alias("class"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a < b")
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
         edges = cut(small.select("e.*").where("a < b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == state:
-            return edges.select(F.col("b").alias("rep"), F.col("a").alias("class"))
-        state = now
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -212,26 +221,26 @@ def classes(docs: DataFrame) -> DataFrame:
     degree = on.groupBy("rep").agg(F.sum("members").alias("degree"))
     first = on.join(degree, "rep").groupBy("band").agg(F.max(F.struct("degree", "rep")).alias("top"), F.min("rep").alias("low"))
     on = on.join(first, "band").withColumn("hub", F.col("rep").isin(F.col("top.rep"), F.col("low"))).drop("top", "low")
-    near = on.select(F.col("rep").alias("doc_id")).distinct()
-    odds = cut(reps.select("rep", "odd").join(near, F.col("rep") == F.col("doc_id"), "left_semi"))
-    bags = cut(docs.join(near, "doc_id").mapInArrow(_bags, "rep long, bag binary"))
-    links, named, rounds, compared = None, None, 0, None
+    near = cut(on.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_set("band").alias("shared")))
+    odds = cut(reps.select("rep", "odd").join(near, F.col("rep") == F.col("doc_id")).drop("doc_id"))
+    bags = cut(docs.join(near.select("doc_id"), "doc_id").mapInArrow(_bags, "rep long, bag binary"))
+    links, named, rounds, late = None, None, 0, 0
     on = on.withColumn("class", F.col("rep"))
-    while not on.isEmpty():
+    while left := on.count():
         if rounds:
-            step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("members") / F.lit(16**rounds)).cast("long"))
+            step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("members") / F.lit(64**rounds)).cast("long"))
             on = on.withColumn("hub", F.pmod(F.xxhash64("rep", F.lit(rounds)), step) == 0)
         on = cut(on)
         known = on.join(odds, "rep")
-        hubs = known.where("hub").select("band", F.col("rep").alias("h"), F.col("n").alias("hn"), F.col("class").alias("hc"), F.col("odd").alias("hodd"))
-        pairs = (
-            known.join(hubs, "band").where((F.col("class") != F.col("hc")) & may_link("n", "odd", "hn", "hodd"))
-            .select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b")).distinct()
+        hubs = known.where("hub").select(
+            "band", F.col("rep").alias("h"), F.col("n").alias("hn"), F.col("class").alias("hc"), F.col("odd").alias("hodd"),
+            F.col("shared").alias("hshared"))
+        once = (~F.col("hub") | (F.col("rep") < F.col("h")))
+        here = F.array_min(F.array_intersect("shared", "hshared")) == F.col("band")
+        pairs = cut(
+            known.join(hubs, "band").where((F.col("class") != F.col("hc")) & once & may_link("n", "odd", "hn", "hodd") & here)
+            .select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b"))
         )
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        compared = pairs if compared is None else compared.unionByName(pairs)
         found = cut(
             pairs.join(bags.select(F.col("rep").alias("a"), F.col("bag").alias("abag")), "a")
             .join(bags.select(F.col("rep").alias("b"), F.col("bag").alias("bbag")), "b")
@@ -239,13 +248,18 @@ def classes(docs: DataFrame) -> DataFrame:
         )
         # members that were compared with all others of their bucket are done; so are buckets of one class
         on = on.where(~F.col("hub")).drop("hub")
-        if not found.isEmpty():
-            links = found if links is None else cut(links.unionByName(found))
-            named = components(links)
+        if fresh := found.count():
+            links, late = found if links is None else links.unionByName(found), late + fresh
+        # a few links more spare few comparisons: they name classes at the end
+        if late * 64 >= left:
+            named, late = components(links), 0
+            links = named.select(F.col("class").alias("a"), F.col("rep").alias("b"))
             on = on.drop("class").join(named, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
         mixed = on.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
         on = cut(on.join(mixed.select("band"), "band", "left_semi"))
         rounds += 1
+    if late:
+        named = components(links)
     # a copy's class is its representative's; the classes' names are their smallest members
     of = sketches.join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.col("n").alias("n_shingles"))
     if named is None:
