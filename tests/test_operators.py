@@ -315,6 +315,32 @@ def test_a_hub_of_all_chunks_stays_closed(spark):
     assert large < 5 * small  # four times the readers and the hub: in proportion, not the square
 
 
+def test_walks_send_the_graph_to_each_core_once_however_many_readers(spark):
+    rng = np.random.default_rng(7)
+    n = 40
+    nodes, edges = walk_graph(rng, n)
+    stepdf = gr.walk_steps(spark.createDataFrame(edges, EDGES), False)
+    seeds = [(i, n - 5 + i % 6, f"chunk:{rng.integers(0, n - 6)}", 1.0) for i in range(200)]
+    seen, kept = [], pagerank.cut
+
+    def watched(df):
+        out = kept(df)
+        if df.columns == ["block", "ord"]:
+            seen.append(out.count())
+        return out
+
+    pagerank.cut = watched
+    try:
+        got = ranked(ranked_walks(spark.createDataFrame(seeds, SEEDS), stepdf, spark.createDataFrame(nodes, NODES), alpha=0.8, top_n=5,
+                                  symmetric=True, iterations=4, walk_block=2))
+    finally:
+        pagerank.cut = kept
+    assert max(seen) <= len(nodes) * spark.sparkContext.defaultParallelism
+    steps = [(r.src, r.dst, r.weight, r.valid_from, r.valid_to) for r in stepdf.collect()]
+    want = plain_walks(nodes, steps, seeds, 0.8, 5, iterations=4)
+    assert {q: [c for c, *_ in v] for q, v in got.items()} == {q: [c for c, _ in v] for q, v in want.items() if v}
+
+
 def test_components(spark):
     ids = spark.range(30)
     chain = [(i, i + 1) for i in range(0, 12)] + [(20, 25), (25, 22), (22, 20)]
