@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vigilkb.functions.vectors import embed_texts
 from vigilkb.operators import entities as er
 from vigilkb.operators import graph as gr
+from vigilkb.operators import judging as jd
 from vigilkb.operators import knn
 from vigilkb.operators import reordering as ro
 from vigilkb.operators.facets import facet_weights, metadata_candidates
@@ -341,6 +342,25 @@ def test_walks_send_the_graph_to_each_core_once_however_many_readers(spark):
     assert {q: [c for c, *_ in v] for q, v in got.items()} == {q: [c for c, _ in v] for q, v in want.items() if v}
 
 
+def test_prompts_shuffle_clipped_texts(spark):
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(33, 127, 50_000, dtype=np.uint8)).decode() for _ in range(20)]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "seq long, text string")
+    found = spark.createDataFrame([(i, j, j + 1) for i in range(5, 20) for j in range(5)], "seq long, cand long, rank long")
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = sent()
+        got = {r.seq: r.prompt for r in jd.neighbour_prompt(chunks, found, chunks).collect()}
+        assert 0 < sent() - before < 1.5 * sum(map(len, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert set(got) == set(range(5, 20))
+    assert got[7] == f"NEW CHUNK (chunk_id=7):\n{texts[7]}\n\nNEIGHBORS:\n" + "\n".join(
+        f"  [chunk_id={j}] {texts[j][:300]}" for j in range(5))
+
+
 def test_components(spark):
     ids = spark.range(30)
     chain = [(i, i + 1) for i in range(0, 12)] + [(20, 25), (25, 22), (22, 20)]

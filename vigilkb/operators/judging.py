@@ -28,9 +28,11 @@ def neighbour_prompt(readers: DataFrame, candidates: DataFrame, chunks: DataFram
 
     Only arrivals with candidates appear: the others are clean without asking.
     """
-    line = F.concat(F.lit("  [chunk_id="), F.col("cand").cast("string"), F.lit("] "), F.substring("text", 1, width))
+    line = F.concat(F.lit("  [chunk_id="), F.col("cand").cast("string"), F.lit("] "), F.col("clip"))
+    # texts are clipped before they are shuffled
+    clips = chunks.select(F.col("seq").alias("cand"), F.substring("text", 1, width).alias("clip"))
     shown = (
-        candidates.join(chunks.select(F.col("seq").alias("cand"), "text"), "cand")
+        candidates.join(clips, "cand")
         .groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
     )
     return readers.select("seq", "text").join(shown, "seq").select(
