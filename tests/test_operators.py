@@ -3,6 +3,7 @@ so that every execution path is taken."""
 
 import hashlib
 import math
+import re
 from collections import defaultdict
 from dataclasses import replace
 
@@ -143,6 +144,41 @@ def test_knn_best_leave_their_task_once(spark, monkeypatch):
     assert len(found) == sent.value == sum(min(k, i) for i in range(n))
 
 
+def shuffles_of(df, column):
+    """How many shuffles of a plan move ``column``."""
+    jvm = df.sparkSession._jvm
+    text = df._jdf.queryExecution().explainString(jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return sum(f"{column}#" in row for row in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", text))
+
+
+def small_broadcasts(spark, request):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+
+
+def test_knn_moves_vectors_once(spark, monkeypatch, request):
+    """Each side's vectors are shuffled once, to their blocks."""
+    small_broadcasts(spark, request)
+    monkeypatch.setattr(knn, "PHYSICAL", replace(knn.PHYSICAL, corpus_bytes=1 << 8))
+    written = []
+    monkeypatch.setattr(knn, "cut", lambda d: written.append(d) or cut(d))
+    n, k = 600, 3
+    v = np.random.default_rng(8).normal(size=(n, 3))
+    df = spark.createDataFrame([(i, i, None if i % 7 else i + 90, [float(x) for x in v[i]]) for i in range(n)], LIVES + ", vec array<double>")
+    asks = df.select("id", F.col("id").alias("at"), "vec")
+    found = knn_join(asks, df, k, block_rows=16, max_pivots=1)
+    assert [shuffles_of(d, "vec") for d in written] == [1, 1]
+    rows = sorted(tuple(r) for r in found.collect())
+    s = np.round(v @ v.T, 6)
+    live = lambda i: [j for j in range(i) if j % 7 or j + 90 > i]
+    assert [r[:2] for r in sorted(rows, key=lambda r: (r[0], r[3]))] == [
+        (i, j) for i in range(n) for j in sorted(live(i), key=lambda j: (-s[i, j], j))[:k]]
+    # sizes of too many cells are shuffled instead
+    monkeypatch.setattr(knn, "PHYSICAL", replace(knn.PHYSICAL, most_cells=0))
+    again = knn_join(asks, df, k, block_rows=16, max_pivots=1)
+    assert [shuffles_of(d, "vec") for d in written[2:]] == [2, 2] and sorted(tuple(r) for r in again.collect()) == rows
+
+
 def test_embedding_counts_once_per_text(spark):
     """Counts by hash bucket, texts of one key together; tokens are counted before the shuffle and the norm is bound once."""
     texts = [(1, "Fee, fee  FEE 50"), (2, ""), (3, None), (4, "a b"), (4, "b c"), (5, "\u212a-\u00e9x 7")]
