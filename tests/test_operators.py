@@ -22,6 +22,7 @@ from vigilkb.operators.knn import _blocked, _pack, knn_join
 from vigilkb.operators.ordering import FOREVER, as_of_last, first_k_live, number_rows, running, stab
 from vigilkb.operators import pagerank
 from vigilkb.operators.pagerank import power_iterate, ranked_walks
+from vigilkb.plans import kb as plan
 from vigilkb.session import cut
 
 LIVES = "id long, valid_from long, valid_to long"
@@ -179,6 +180,18 @@ def test_knn_moves_vectors_once(spark, monkeypatch, request):
     assert [shuffles_of(d, "vec") for d in written[2:]] == [2, 2] and sorted(tuple(r) for r in again.collect()) == rows
 
 
+def test_vectors_join_what_is_stamped(spark, monkeypatch, request):
+    """Of a query's tables only ``embeddings`` itself has its vectors shuffled."""
+    small_broadcasts(spark, request)
+    written = []
+    monkeypatch.setattr(plan, "cut", lambda d: written.append(d) or cut(d))
+    kb = plan.from_tables(spark, "/root/testdata/sf0.001", ["source_id", "vec"])
+    assert len(written) == 1 and shuffles_of(written[0], "vec") <= 1 and shuffles_of(written[0], "embedding") <= 1
+    own = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    n, d = own.count(), {r.vec_id: r.embedding for r in own.collect()}
+    assert all(r.vec == d[(r.seq - 1) % n] for r in kb.chunks.select("seq", "vec").collect())
+
+
 def test_embedding_counts_once_per_text(spark):
     """Counts by hash bucket, texts of one key together; tokens are counted before the shuffle and the norm is bound once."""
     texts = [(1, "Fee, fee  FEE 50"), (2, ""), (3, None), (4, "a b"), (4, "b c"), (5, "\u212a-\u00e9x 7")]
