@@ -23,6 +23,7 @@ from vigilkb.operators.ordering import FOREVER, as_of_last, first_k_live, number
 from vigilkb.operators import pagerank
 from vigilkb.operators.pagerank import power_iterate, ranked_walks
 from vigilkb.plans import kb as plan
+from vigilkb.plans.catalogue import CATALOGUE
 from vigilkb.session import cut
 
 LIVES = "id long, valid_from long, valid_to long"
@@ -192,6 +193,29 @@ def test_vectors_join_what_is_stamped(spark, monkeypatch, request):
     assert all(r.vec == d[(r.seq - 1) % n] for r in kb.chunks.select("seq", "vec").collect())
 
 
+ONE_READ = ["graph_edges", "edge_weights", "undirected_projection", "degree", "live_successors"]
+
+
+@pytest.mark.parametrize("name", ONE_READ)
+def test_edges_read_once_are_not_written(spark, monkeypatch, name):
+    written = []
+    for module in (plan, knn, gr, __import__("vigilkb.plans.catalogue", fromlist=["cut"])):
+        monkeypatch.setattr(module, "cut", lambda d: written.append(d) or cut(d))
+    CATALOGUE[name](spark, "/root/testdata/sf0.001")
+    assert len(written) == 1  # the chunks
+
+
+def test_graph_seeds_need_no_neighbours(spark, monkeypatch):
+    """An anchor has structural neighbours only."""
+    sf = "/root/testdata/sf0.001"
+    kb = plan.from_tables(spark, sf)
+    g = plan.graph_of(kb)
+    known = gr.graph_seeds(gr.anchors_for(kb.readers, kb.chunks, g.nodes, kb.span), g.edges, kb.span)
+    expected = sorted((r.seq, r.node_id, r.mass) for r in known.withColumn("mass", F.round("mass", 6)).collect())
+    monkeypatch.setattr(plan, "vector_candidates", None)
+    assert sorted((r.seq, r.node_id, r.mass) for r in CATALOGUE["graph_seeds"](spark, sf).collect()) == expected
+
+
 def test_embedding_counts_once_per_text(spark):
     """Counts by hash bucket, texts of one key together; tokens are counted before the shuffle and the norm is bound once."""
     texts = [(1, "Fee, fee  FEE 50"), (2, ""), (3, None), (4, "a b"), (4, "b c"), (5, "\u212a-\u00e9x 7")]
