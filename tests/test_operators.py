@@ -216,6 +216,76 @@ def test_graph_seeds_need_no_neighbours(spark, monkeypatch):
     assert sorted((r.seq, r.node_id, r.mass) for r in CATALOGUE["graph_seeds"](spark, sf).collect()) == expected
 
 
+def test_knn_serves_its_own_rows_from_one_table(spark, monkeypatch):
+    """Queries that are the corpus' rows share its written blocks, and a block reaches a task once, not once per query block."""
+    monkeypatch.setattr(knn, "PHYSICAL", replace(knn.PHYSICAL, corpus_bytes=1 << 8))
+    monkeypatch.setattr(knn, "_STRETCH_ROWS", 200)
+    n, k, written, rows, score = 900, 3, [], spark.sparkContext.accumulator(0), knn._score
+    monkeypatch.setattr(knn, "cut", lambda d: written.append(cut(d)) or written[-1])
+
+    def counted(*args, **kw):
+        kernel = score(*args, **kw)
+
+        def counting(batches):
+            def seen():
+                for b in batches:
+                    rows.add(b.num_rows)
+                    yield b
+
+            return kernel(seen())
+
+        return counting
+
+    monkeypatch.setattr(knn, "_score", counted)
+    v = np.random.default_rng(12).normal(size=(n, 4)).astype(np.float32)
+    v[100:130] = v[5]  # ties
+    dies = [None if i % 50 == 0 else i + 3 + 37 * (i % 5) for i in range(n)]
+    df = cut(spark.createDataFrame([(i, i, dies[i], [float(x) for x in v[i]]) for i in range(n)], LIVES + ", vec array<float>"))
+    found = knn_join(df.select("id", F.col("valid_from").alias("at"), "vec"), df, k, block_rows=16).collect()
+    s = np.round(v.astype(float) @ v.astype(float).T, 6)
+    live = lambda i: [j for j in range(i) if dies[j] is None or dies[j] > i]
+    assert sorted((r.qid, r["rank"], r.cid) for r in found) == [
+        (i, p + 1, j) for i in range(n) for p, j in enumerate(sorted(live(i), key=lambda j: (-s[i, j], j))[:k])]
+    assert len(written) == 1
+    blocks, tasks = written[0].count(), len(written[0].inputFiles())
+    assert tasks > 4 and rows.value <= blocks + tasks * blocks
+    pairs = sum(a.lo < b.at_hi and a.hi > b.lo for b in written[0].select("lo", "at_hi").collect() for a in written[0].select("lo", "hi").collect())
+    assert rows.value < pairs
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-12, 1e20])
+def test_knn_singles_lose_nothing(scale):
+    """Scores closer than single precision tells apart, and vectors that it cannot hold, are ranked as in double precision."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1, 8)) + 1e-7 * rng.normal(size=(400, 8))
+    x, q = (x * scale).astype(np.float64), (rng.normal(size=(70, 8)) * 1e3).astype(np.float64)
+    born, ids = np.arange(400) % 7, rng.permutation(400).astype(np.int64)
+    asks = knn._Asks(np.arange(70), np.arange(70) % 9, q, 5, 6, None)
+    for i in range(0, 400, 50):
+        asks.meet(knn._Corpus(ids[i:i + 50], born[i:i + 50], np.full(50, 8), x[i:i + 50]))
+    got = defaultdict(list)
+    for b in asks.leave():
+        for r in b.to_pylist():
+            got[r["qid"]].append(r["cid"])
+    s = np.round(q @ x.T, 6)
+    for i in range(70):
+        live = [j for j in range(400) if born[j] < i % 9 < 8]
+        best = sorted(live, key=lambda j: (-s[i, j], ids[j]))[:5]
+        assert len(got[i]) == len(best)
+        # sums of another order may differ in the last digit of a double
+        assert np.allclose(s[i, best], sorted(s[i, [j for j in live if ids[j] in got[i]]], reverse=True), rtol=1e-12, atol=1e-6)
+
+
+def test_cut_leaves_no_shuffles(spark, monkeypatch):
+    """What was shuffled to write a table does not stay on the disk beside it."""
+    jvm = spark._jvm
+    kept = lambda: jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before = kept()
+    table = cut(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("x")).count())
+    assert kept() <= before and table.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_embedding_counts_once_per_text(spark):
     """Counts by hash bucket, texts of one key together; tokens are counted before the shuffle and the norm is bound once."""
     texts = [(1, "Fee, fee  FEE 50"), (2, ""), (3, None), (4, "a b"), (4, "b c"), (5, "\u212a-\u00e9x 7")]
